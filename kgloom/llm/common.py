@@ -40,6 +40,11 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
     return df.mapInArrow(run, schema)
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """Words between ASCII white space, A-Z lower-cased and nothing else (bytes.lower and split know only ASCII)."""
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
 class BoundedCache(dict):
     """A dict that fills itself by a function; two generations bound it.
 

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.llm import bpe, media, packing, secrets
+from kgloom.llm import bpe, langid, media, packing, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": quality.op1_quality,
         "op4_packing": packing.op4_packing,
         "op5_secrets": secrets.op5_secrets,
         "op8_media": media.op8_media,
+        "op9_langid": langid.op9_langid,
         "op10_bpe": bpe.op10_bpe,
     }
 
