@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.llm import bpe, langid, media, packing, ppm, quality, secrets
+from kgloom.llm import bpe, jaccard, langid, media, packing, ppm, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
         "op2_ppm": ppm.op2_ppm,
+        "op3_jaccard": jaccard.op3_jaccard,
         "op4_packing": packing.op4_packing,
         "op5_secrets": secrets.op5_secrets,
         "op8_media": media.op8_media,
