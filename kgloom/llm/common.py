@@ -22,14 +22,14 @@ def held_out(n: int, column: str = "doc_id") -> Column:
     return F.coalesce(crc_mod(column, n) == 2, F.lit(False))
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, slice_: int = SLICE) -> DataFrame:
     """mapInArrow over slices of columns: make() runs once a task, its result maps {column: list} to {column: list}."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                out = work(batch.slice(at, SLICE).to_pydict())
+            for at in range(0, batch.num_rows, slice_):
+                out = work(batch.slice(at, slice_).to_pydict())
                 if out is not None:
                     yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
