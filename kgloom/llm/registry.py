@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.llm import bpe, jaccard, langid, media, packing, ppm, quality, secrets
+from kgloom.llm import ann, bpe, jaccard, langid, media, packing, ppm, quality, secrets, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_jaccard": jaccard.op3_jaccard,
         "op4_packing": packing.op4_packing,
         "op5_secrets": secrets.op5_secrets,
+        "op6_ann": ann.op6_ann,
+        "op7_warc": warc.op7_warc,
         "op8_media": media.op8_media,
         "op9_langid": langid.op9_langid,
         "op10_bpe": bpe.op10_bpe,
@@ -23,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc": warc.SQL}
