@@ -309,5 +309,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int =
     return full.unionByName(first.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs without the documents whose component has a smaller doc_id; of rows that repeat a doc_id one stays.
+
+    Rows with a null doc_id link with nothing and all stay.
+    """
+    found = near_duplicates(spark, docs, k, num, den).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies"))
+    found = staged(spark, found.select(F.col("doc_id").alias("_id"), "_copies"), "jaccard-kept")
+    kept = docs.join(found, F.col("doc_id").cast("long") == F.col("_id")).select(*docs.columns, "_copies")
+    once = kept.where("_copies = 1").select(*docs.columns)
+    again = kept.where("_copies > 1").select(*docs.columns).dropDuplicates(["doc_id"]) if found.where("_copies > 1").limit(1).count() else None
+    return (once if again is None else once.unionByName(again)).unionByName(docs.where("doc_id is null"))
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), 3, 90, 100)

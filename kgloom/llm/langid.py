@@ -148,6 +148,21 @@ def identify(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
     return map_rows(docs.select(*keep, F.col("text").alias("_text")), make, f"{schema}, lang_pred string, score double")
 
 
+def identified(docs: DataFrame, model: dict | None) -> DataFrame:
+    """docs with lang_pred and lang_score; only the texts go through Python, other columns stay where they are."""
+    from pyspark.sql.pandas.functions import pandas_udf
+
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @pandas_udf("lang_pred string, lang_score double")
+    def of(s):
+        import pandas as pd
+
+        return pd.DataFrame([predict(sent.value, t) for t in s], columns=["lang_pred", "lang_score"])
+
+    return docs.withColumn("_lang", of(F.col("text"))).select(*docs.columns, "_lang.lang_pred", "_lang.lang_score")
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").withColumn("held_out", held_out(4))
     return identify(docs, train(docs.where("not held_out")), ["doc_id", "held_out"])

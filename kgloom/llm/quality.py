@@ -158,6 +158,22 @@ def score_rows(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFram
     return map_rows(_with_length(docs).select(*keep, F.col("text").alias("_text"), "_n"), make, f"{schema}, score double")
 
 
+def scored(docs: DataFrame, model: dict | None) -> DataFrame:
+    """docs with quality_score; only text and length go through Python, other columns stay where they are."""
+    from pyspark.sql.pandas.functions import pandas_udf
+
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @pandas_udf("double")
+    def of(text, n):
+        import pandas as pd
+
+        buckets = BoundedCache(bucket)
+        return pd.Series([score(sent.value, *features(t, None if pd.isna(k) else int(k), buckets)) for t, k in zip(text, n)])
+
+    return _with_length(docs).withColumn("quality_score", of(F.col("text"), F.col("_n"))).select(*docs.columns, "quality_score")
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     n = ["n_chars"] if "n_chars" in docs.columns else []

@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from kgloom.llm import ann, bpe, jaccard, langid, media, packing, ppm, quality, secrets, warc
 
 
+def _pipeline():
+    import corpus_pipeline
+
+    return corpus_pipeline
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
@@ -21,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media": media.op8_media,
         "op9_langid": langid.op9_langid,
         "op10_bpe": bpe.op10_bpe,
+        "pipeline": corpus_pipeline.run,
     }
 
 
