@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def token_jaccard(a, b) -> Column:
@@ -22,7 +23,7 @@ def cosine(a, b) -> Column:
     return F.when(norm != 0, dot(x, y) / norm)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def sequence_ratio(a, b):
     """Twice the matched characters over all characters, by the longest matching blocks (no built-in does this)."""
     import pandas as pd

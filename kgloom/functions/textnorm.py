@@ -92,13 +92,13 @@ def percent_unquote(c) -> Column:
 def safe_uri(term, sense=None, base: str = "http://kgloom.example/") -> Column:
     """URI of a term, quoted only where needed, with the normalised sense after two hyphens."""
     def quoted(c):
-        return F.when(c.rlike(r"[^a-zA-Z0-9_-]"), percent_quote(F.replace(c, F.lit(" "), F.lit("_")))).otherwise(c)
+        return F.when(c.rlike(r"[^a-zA-Z0-9_-]"), percent_quote(c)).otherwise(c)
 
     uri = F.concat(F.lit(base), quoted(_col(term)))
     if sense is None:
         return uri
     s = _col(sense)
-    return F.when(s.isNull() | (s == ""), uri).otherwise(F.concat(uri, F.lit("--"), F.regexp_replace(F.regexp_replace(s, r"[^a-zA-Z0-9_-]+", "-"), r"^-+|-+$", "")))
+    return F.when(s.isNull() | (s == ""), uri).otherwise(F.concat(uri, F.lit("--"), F.regexp_replace(s, r"[^a-zA-Z0-9_-]", "-")))
 
 
 def uri_parts(c) -> dict[str, Column]:
@@ -170,15 +170,23 @@ def good_triple(s, p, o) -> Column:
 
 
 def camel_words(c) -> Column:
-    """Spaces at changes of case; underscores and hyphens to spaces."""
-    t = F.regexp_replace(_col(c), r"([a-z0-9])([A-Z])", "$1 $2")
-    t = F.regexp_replace(t, r"([A-Z])([A-Z][a-z])", "$1 $2")
-    return strip(F.regexp_replace(t, r"[_\-\s]+", " "))
+    """Lower-case words of a camel-case name; dots, underscores and hyphens are spaces."""
+    t = F.regexp_replace(_col(c), r"(?<=[a-z0-9])(?=[A-Z])", " ")
+    return F.lower(strip(F.regexp_replace(t, r"[._\-\s]+", " ")))
+
+
+def fragment(c) -> Column:
+    """A name with all but ASCII letters and digits as underscores."""
+    return F.regexp_replace(_col(c), r"[^A-Za-z0-9]", "_")
 
 
 def category_term(c) -> Column:
-    """A resource's term without the Category prefix, split at case and underscores."""
-    return camel_words(F.regexp_replace(local_name(c), r"^Category:", ""))
+    """A resource's term: underscores to spaces, or a space before each capital where there are none; no Category prefix."""
+    t = _col(c)
+    t = F.when(t.contains("_"), F.replace(t, F.lit("_"), F.lit(" "))).otherwise(F.regexp_replace(t, r"(?<=.)(?=[A-Z])", " "))
+    for gone in ("Category:", '"', " ."):
+        t = F.replace(t, F.lit(gone), F.lit(""))
+    return t
 
 
 def class_of_file(path, trim: bool = False) -> Column:
