@@ -64,7 +64,8 @@ def lemma_patterns(classes: list[str], properties: list[str]) -> tuple[list[tupl
 
 def matched(texts: Column, patterns: list[tuple[str, str]]) -> Column:
     """Z3: distinct names whose pattern some text has, in the patterns' order."""
-    return F.array_compact(F.array(*[F.when(F.exists(texts, lambda t, p=p: t.rlike(p)), F.lit(n)) for n, p in patterns])) if patterns else F.array().cast("array<string>")
+    has = lambda p: F.exists(texts, lambda t: t.rlike(p))
+    return F.array_compact(F.array(*[F.when(has(p), F.lit(n)) for n, p in patterns])) if patterns else F.array().cast("array<string>")
 
 
 def participles(props: Column) -> Column:
