@@ -93,19 +93,21 @@ class Model:
     """The fixed trie: per order its contexts (n, q, count excluded from the shorter one) and grams (count)."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        keys, counts = keys[order].astype(np.int64), counts[order].astype(np.int64)
         self.grams, self.count, self.contexts, self.n, self.q, self.out = [], [], [], [], [], []
         levels = []
-        for k in range(ORDER + 1):
-            g, back = np.unique(keys & low(k), return_inverse=True)
-            levels.append((g, np.bincount(back, counts, len(g)).astype(np.int64)))
+        for k in range(ORDER, -1, -1):
+            short = keys & low(k)
+            order = np.argsort(short, kind="stable")
+            short, counts = short[order], counts[order]
+            first = np.flatnonzero(np.append(True, short[1:] != short[:-1])) if len(short) else order
+            keys, counts = short[first], np.add.reduceat(counts, first) if len(first) else counts
+            levels.insert(0, (keys, counts))
         for k, (g, c) in enumerate(levels):
             ctx, first = np.unique(g >> 8, return_index=True)
             shorter = levels[k - 1][1][np.searchsorted(levels[k - 1][0], g & low(k - 1))] if k else np.zeros(len(g), np.int64)
             add = lambda x: np.add.reduceat(x, first) if len(first) else x
             self.grams.append(g)
-            self.count.append(c.astype(np.float64))
+            self.count.append(c)
             self.contexts.append(ctx)
             self.n.append(add(c))
             self.q.append(np.diff(np.append(first, len(g))))
@@ -231,16 +233,23 @@ def _most(counts: DataFrame, most: int) -> int:
     return 1 if total <= most else least
 
 
-def train(spark: SparkSession, docs: DataFrame, grams: int = GRAMS, frequent: int = FREQUENT) -> tuple[Model, dict, DataFrame, int, int]:
+def train(spark: SparkSession, docs: DataFrame, grams: int = GRAMS, frequent: int = FREQUENT) -> tuple[Model, tuple, DataFrame, int, int]:
     """(model, frequent words' counts, all word counts (word, n), N, V) of the texts in docs."""
     both = staged(spark, _counts(docs), "ppm-counts")
     trie = staged(spark, both.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
-    kept = trie.where(F.col("n") >= _most(trie, grams)).toPandas()
+    kept = trie.where(F.col("n") >= _most(trie, grams)).toArrow()
+    model = Model(kept.column("gram").to_numpy(), kept.column("n").to_numpy())
+    del kept
     words = staged(spark, both.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "ppm-words")
     row = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    few = words.where((F.col("n") >= _most(words, frequent)) & (F.length("word") <= WORD_BYTES)).toPandas()
-    table_ = dict(zip(map(bytes, few["word"]), map(int, few["n"])))
-    return Model(kept["gram"].to_numpy(np.int64), kept["n"].to_numpy(np.int64)), table_, words, row["n"], row["v"]
+    few = words.where((F.col("n") >= _most(words, frequent)) & (F.length("word") <= WORD_BYTES)).toArrow()
+    # words are joined by the byte that none holds, so that a few buffers go by broadcast and not as many objects
+    table_ = (b"\t".join(w for c in few.column("word").chunks for w in c.to_pylist()), few.column("n").to_numpy())
+    return model, table_, words, row["n"], row["v"]
+
+
+def _word_counts(table_: tuple[bytes, np.ndarray]) -> dict[bytes, int]:
+    return dict(zip(table_[0].split(b"\t"), table_[1].tolist())) if len(table_[1]) else {}
 
 
 def score(spark: SparkSession, docs: DataFrame, train_docs: DataFrame) -> DataFrame:
@@ -253,7 +262,7 @@ def score(spark: SparkSession, docs: DataFrame, train_docs: DataFrame) -> DataFr
     sent = spark.sparkContext.broadcast((model, frequent))
 
     def make():
-        trie, counts = sent.value
+        trie, counts = sent.value[0], _word_counts(sent.value[1])
         logs = {}
 
         def work(x: dict) -> dict:
