@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.session import staged
+from kgloom.session import discard, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -42,7 +42,8 @@ def connected_components(spark: SparkSession, edges: DataFrame, a: str = "a", b:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        e = staged(spark, _star(_star(e, True), False), "stars")
+        last, e = e, staged(spark, _star(_star(e, True), False), "stars")
+        discard(last)
         after = _state(e)
         if after == before:
             break

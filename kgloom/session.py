@@ -46,4 +46,13 @@ def staged(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(spark)}/kgloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of staged tables that no later step reads. What was derived from them must be staged by then."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
