@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kgloom.functions.textnorm import good_label, pair_label
 from kgloom.operators.components import connected_components
+from kgloom.session import small
 
 #: What pair mining skips in a predicate, and namespaces that are no types.
 SKIPPED = ("rdf-syntax-ns#type", "rdf-schema#subClassOf", "owl#", "rdf-schema#label")
@@ -64,7 +65,7 @@ def navigability(spark: SparkSession, edges: DataFrame, all_nodes: DataFrame, a:
 
 def decomposed(types: DataFrame, category: DataFrame) -> DataFrame:
     """(category, n) of types by a small table (class, category); classes it lacks are other."""
-    return types.join(F.broadcast(category), "class", "left").groupBy(F.coalesce("category", F.lit("other")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    return types.join(small(category), "class", "left").groupBy(F.coalesce("category", F.lit("other")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def sampled(a, b, k: int):

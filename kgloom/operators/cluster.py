@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kgloom.functions.textnorm import supersense
 from kgloom.operators.components import connected_components
+from kgloom.session import staged
 
 
 def url_edges(urls: DataFrame, reserved: str | None = None) -> DataFrame:
@@ -15,11 +16,13 @@ def url_edges(urls: DataFrame, reserved: str | None = None) -> DataFrame:
 
 
 def components(spark: SparkSession, urls: DataFrame) -> DataFrame:
-    """G1: (concept, component) of concepts that have a URL; the component is its smallest concept."""
+    """G1: (concept, component) of concepts that have a URL; the component is its smallest concept.
+
+    A concept's key sorts before every URL's, so the smallest node of a component is a concept.
+    """
     found = connected_components(spark, url_edges(urls))
-    own = found.where(F.col("node").startswith("c:")).select(F.substring("node", 3, 1 << 30).alias("concept"), "component")
-    least = own.groupBy("component").agg(F.min("concept").alias("least"))
-    return own.join(least, "component").select("concept", F.col("least").alias("component"))
+    bare = lambda c: F.substring(c, 3, 1 << 30).alias
+    return found.where(F.col("node").startswith("c:")).select(bare("node")("concept"), bare("component")("component"))
 
 
 def coherent(members: DataFrame, concepts: DataFrame, null_joins_single: bool = False) -> DataFrame:
@@ -43,8 +46,8 @@ def with_singletons(clusters: DataFrame, concepts: DataFrame) -> DataFrame:
 
 
 def cluster(spark: SparkSession, concepts: DataFrame, urls: DataFrame, null_joins_single: bool = False) -> DataFrame:
-    """Components, coherence split and singletons."""
-    return with_singletons(coherent(components(spark, urls), concepts, null_joins_single), concepts)
+    """Components, coherence split and singletons, as a table in the shared folder that all joins read."""
+    return staged(spark, with_singletons(coherent(components(spark, urls), concepts, null_joins_single), concepts), "clusters")
 
 
 def lift(relations: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -14,10 +14,14 @@ from kgloom.session import discard, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: (u, v) with v < u. Returns edges of the same form, with the same components."""
+    """edges: (u, v) with v < u. Returns edges of the same form, with the same components.
+
+    The join's key is a struct of u: the aggregated side's own partitioning is then no answer to it, both sides come from
+    plain exchanges, and Spark splits the partition of a hub.
+    """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    pairs = both.join(low, "u")
+    pairs = both.withColumn("k", F.struct("u")).join(low.select(F.struct("u").alias("k"), "m"), "k").drop("k")
     if large:
         moved = pairs.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 
 def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """One row of each key, the least by order (nulls last). Null keys are a key like any other."""
+    """One row of each key, the least by order (nulls last). Null keys are a key like any other.
+
+    Spark limits a rank to its first row within each task before the shuffle (WindowGroupLimit), so that a hot key brings
+    one row a task.
+    """
     w = Window.partitionBy(*key).orderBy(*[F.col(c).asc_nulls_last() for c in order])
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 

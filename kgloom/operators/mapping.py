@@ -7,10 +7,10 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgloom.session import small
+
 #: Keys of a class tree that are structure, not classes.
 STRUCTURE = ("properties", "classes", "sameAs")
-#: Rows up to which a mapping is broadcast; larger ones are joined by shuffle.
-SMALL = 100_000
 
 
 def edge_map(spark: SparkSession, maps: list[dict]) -> DataFrame:
@@ -34,20 +34,15 @@ def load_json(path: str) -> dict:
         return json.load(f)
 
 
-def hinted(mapping: DataFrame) -> DataFrame:
-    """The mapping with a broadcast hint where its counted size allows it."""
-    return F.broadcast(mapping) if mapping.limit(SMALL + 1).count() <= SMALL else mapping
-
-
 def map_pos(df: DataFrame, mapping: DataFrame, pos: str = "pos") -> DataFrame:
     """Mapped class, or the label itself; the label is looked up as it is while keys are lower case."""
-    m = hinted(mapping.select(F.col("label").alias("_label"), "class"))
+    m = small(mapping.select(F.col("label").alias("_label"), "class"))
     return df.join(m, F.col(pos) == F.col("_label"), "left").withColumn(pos, F.coalesce("class", pos)).drop("_label", "class")
 
 
 def map_relations(df: DataFrame, mapping: DataFrame, rel: str = "rel") -> DataFrame:
     """Relations renamed by lower-cased label, with negated; swapped ones have their ends exchanged."""
-    m = hinted(mapping.withColumnRenamed("label", "_label"))
+    m = small(mapping.withColumnRenamed("label", "_label"))
     out = df.join(m, F.lower(F.col(rel)) == F.col("_label"), "left")
     swap = F.coalesce("swap", F.lit(False))
     return out.select(

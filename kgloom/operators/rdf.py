@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions.textnorm import safe_uri
+from kgloom.session import small
 
 #: The vocabularies' names, and relations that never join a concept with one of the same label.
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -54,7 +55,7 @@ def inferred_tags(types: DataFrame, flags: DataFrame, tags: DataFrame) -> DataFr
     types (subject, class), flags (subject, property) of true properties, tags (tag, class, required array). A tag that
     asks none takes every subject of the class.
     """
-    t = F.broadcast(tags.withColumn("need", F.size(F.array_distinct("required"))))
+    t = small(tags.withColumn("need", F.size(F.array_distinct("required"))))
     who = types.join(t, "class")
     free = who.where("need = 0").select("subject", "tag")
     asked = who.where("need > 0").withColumn("property", F.explode(F.array_distinct("required")))

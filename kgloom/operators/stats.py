@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgloom.session import staged
+
 
 def mean_ci(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """N, mean and half of the 95% interval (null for under two values) of each group."""
@@ -19,15 +21,31 @@ def improvement(base, value):
     return (value - base) / F.greatest(base, F.lit(1e-9)) * 100
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, out: str = "rank") -> DataFrame:
-    """Ranks from 1, ties sharing their mean. Counts of equal values are ranked, then joined back.
+def _cumulated(by: DataFrame, order: list[str], count: str) -> DataFrame:
+    """by with before, the sum of count over the rows before it in the order; no task holds more than a range of rows.
 
-    The cumulated counts are over distinct values of a group.
+    Rows are dealt by ranges of the order and kept in the shared folder with their range; sums of ranges (a row a range)
+    are cumulated, and within a range the rows are.
     """
+    spark = by.sparkSession
+    dealt = staged(spark, by.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("_part").agg(F.sum(count).alias("_sum"), F.min(F.struct(*order)).alias("_first"))
+    parts = parts.withColumn("_offset", F.coalesce(F.sum("_sum").over(Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return dealt.join(F.broadcast(parts.select("_part", "_offset")), "_part").withColumn("before", F.col("_offset") + F.coalesce(F.sum(count).over(inside), F.lit(0))).drop("_part", "_offset")
+
+
+def average_ranks(df: DataFrame, keys: list[str], value: str, out: str = "rank") -> DataFrame:
+    """Ranks from 1, ties sharing their mean. Equal values are counted, counts are cumulated by ranges, and joined back."""
     by = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by = by.withColumn(out, F.sum("_t").over(w) - F.col("_t") + (F.col("_t") + 1) / 2.0)
-    return df.join(by.drop("_t"), [*keys, value])
+    by = _cumulated(by, [*keys, value], "_t")
+    if keys:
+        start = by.groupBy(*keys).agg(F.min("before").alias("_start"))
+        by = by.join(start, keys)
+    else:
+        by = by.withColumn("_start", F.lit(0))
+    by = by.withColumn(out, F.col("before") - F.col("_start") + (F.col("_t") + 1) / 2.0)
+    return df.join(by.select(*keys, value, out), [*keys, value])
 
 
 def paired_effect(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
@@ -64,19 +82,10 @@ def krippendorff(df: DataFrame, item: str, rater: str, value: str) -> DataFrame:
 
 def spearman(df: DataFrame, a: str, b: str, key: str) -> DataFrame:
     """(rho) of two columns by average ranks; key tells rows apart."""
-    x = _ranked(df, key, a, "ra")
-    y = _ranked(df, key, b, "rb")
+    x, y = average_ranks(df.select(key, a), [], a, "ra").select(key, "ra"), average_ranks(df.select(key, b), [], b, "rb").select(key, "rb")
     return x.join(y, key).agg(F.corr("ra", "rb").alias("rho"))
 
 
-def _ranked(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Average ranks over a whole column: distinct values with counts are cumulated, not rows."""
-    by = df.groupBy(value).agg(F.count(F.lit(1)).alias("_t"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by = by.withColumn(out, F.sum("_t").over(w) - F.col("_t") + (F.col("_t") + 1) / 2.0)
-    return df.join(by, value).select(key, out)
-
-
 def wilson(k, n, z: float = 1.96) -> dict:
     """P, low and high of the score interval; zeros for no trials."""
     p = k / n

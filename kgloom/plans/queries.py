@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kgloom.functions import similarity, textnorm
 from kgloom.operators import analytics, audit, cluster, dedup, explain, mapping, rdf, retrieve, stats
 from kgloom.operators.components import connected_components
-from kgloom.session import table
+from kgloom.session import small, table
 from kgloom.sources import star_schema as star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -436,7 +436,7 @@ select q, round(avg(c), 9) as mean from w where n <= 10 group by q""")
 def topk_cosine(spark, d):
     e = table(spark, d, "embeddings")
     # five stated queries against all rows
-    s = e.join(F.broadcast(e.where("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))), F.col("q") != F.col("vec_id"))
+    s = e.join(small(e.where("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))), F.col("q") != F.col("vec_id"))
     return retrieve.top_k_mean(s.select("q", "vec_id", similarity.cosine("v", "embedding").alias("c")), "q", "c", "vec_id", 10).withColumn("mean", F.round("mean", 9))
 
 
@@ -561,6 +561,6 @@ def sequence_match(spark, d):
     """The best region name of each nation by the matching-blocks ratio; five names are the stated targets."""
     from pyspark.sql import Window
 
-    pairs = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.lit(True)).select("n_name", "r_name", similarity.sequence_ratio(F.lower("n_name"), F.lower("r_name")).alias("score"))
+    pairs = table(spark, d, "nation").join(small(table(spark, d, "region")), F.lit(True)).select("n_name", "r_name", similarity.sequence_ratio(F.lower("n_name"), F.lower("r_name")).alias("score"))
     w = Window.partitionBy("n_name").orderBy(F.desc("score"), "r_name")
     return pairs.withColumn("rank", F.row_number().over(w)).where("rank <= 3")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(master: str = "local[*]", partitions: int = 8, **conf) -> SparkSession:
@@ -51,6 +52,15 @@ def staged(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+#: Rows up to which a side of a join is broadcast.
+SMALL = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint where a count, stopped at SMALL, proves it small; else without, for a shuffled join."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes the files of staged tables that no later step reads. What was derived from them must be staged by then."""
     for df in tables:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kgloom.functions.textnorm import normalise_term, sense_token
 from kgloom.operators import dedup
+from kgloom.session import small
 
 ENDS = ("term", "pos", "sense")
 C, R, P, U = "term string, pos string, sense string", "s_term string, s_pos string, s_sense string, rel string, e_term string, e_pos string, e_sense string, weight float", "term string, pos string, sense string, type string, value string", "term string, pos string, sense string, url string"
@@ -151,7 +152,7 @@ def wordnet(members: DataFrame, relations: DataFrame, mapped: DataFrame) -> KG:
     a, b = m.select("synset", *[F.col(c).alias(f"a_{c}") for c in ("lemma", "pos", "sense")]), m.select("synset", *[F.col(c).alias(f"b_{c}") for c in ("lemma", "pos", "sense")])
     ends = lambda x: tuple(F.col(f"{x}_{c}") for c in ("lemma", "pos", "sense"))
     eq = _edge(a.join(b, "synset").where("a_lemma < b_lemma"), ends("a"), "eq", ends("b"))
-    known = relations.join(F.broadcast(mapped.select(F.lower("label").alias("_l"))), F.lower("rel") == F.col("_l"), "left_semi")
+    known = relations.join(small(mapped.select(F.lower("label").alias("_l"))), F.lower("rel") == F.col("_l"), "left_semi")
     fan = _edge(known.join(a, "synset").join(b.withColumnRenamed("synset", "other"), "other"), ends("a"), F.col("rel"), ends("b"))
     rel = domain.unionByName(eq).unionByName(fan)
     return KG("WordNet", _concept(m, F.col("lemma"), F.col("pos"), F.col("sense")).unionByName(_ends(rel)), rel, None, m.select(F.col("lemma").alias("term"), "pos", "sense", F.col("uri").alias("url")))
@@ -188,10 +189,10 @@ def geonames(places: DataFrame, hierarchy: DataFrame, alternates: DataFrame, lin
 
     ignored (name) are compared after strip and lower. hierarchy (parent, child); features (code, label).
     """
-    kept = places.join(F.broadcast(ignored.select(F.lower(F.trim("name")).alias("_n"))), F.lower(F.trim("name")) == F.col("_n"), "left_anti")
+    kept = places.join(small(ignored.select(F.lower(F.trim("name")).alias("_n"))), F.lower(F.trim("name")) == F.col("_n"), "left_anti")
     kept = kept.withColumn("pos", F.when(F.col("feature_class") == "A", "GPE").otherwise("LOC"))
     one = (F.col("name"), F.col("pos"), F.col("id"))
-    f = kept.join(F.broadcast(features), F.concat_ws(".", "feature_class", "feature_code") == F.col("code"))
+    f = kept.join(small(features), F.concat_ws(".", "feature_class", "feature_code") == F.col("code"))
     rel = _edge(f, one, "instanceOf", (F.col("label"), "Noun", None))
     pairs = hierarchy.where("parent != child")
     ids = resolved_ids(pairs.select(F.explode(F.array("parent", "child")).alias("id")), kept, alternates)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.session import small
+
 KEY = ["start", "end", "rel", "weight"]
 
 
@@ -21,7 +23,7 @@ def ingest_relations(stream: DataFrame, path: str, checkpoint: str, available_no
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
         if fs.exists(hadoop) and len(fs.listStatus(hadoop)) > 0:
-            held = spark.read.schema(new.schema).parquet(path).join(F.broadcast(new.select("rel").distinct()), "rel", "left_semi")
+            held = spark.read.schema(new.schema).parquet(path).join(small(new.select("rel").distinct()), "rel", "left_semi")
             new = new.join(held.select(*KEY), KEY, "left_anti")
         new.write.mode("append").partitionBy("rel").parquet(path)
 
