@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.functions import similarity, textnorm
-from kgloom.operators import analytics, audit, cluster, dedup, explain, mapping, rdf, retrieve, stats
+from kgloom.operators import analytics, audit, cluster, dedup, evaluate, explain, mapping, rdf, retrieve, stats
 from kgloom.operators.components import connected_components
 from kgloom.session import small, table
 from kgloom.sources import star_schema as star
@@ -564,3 +564,36 @@ def sequence_match(spark, d):
     pairs = table(spark, d, "nation").join(small(table(spark, d, "region")), F.lit(True)).select("n_name", "r_name", similarity.sequence_ratio(F.lower("n_name"), F.lower("r_name")).alias("score"))
     w = Window.partitionBy("n_name").orderBy(F.desc("score"), "r_name")
     return pairs.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+
+
+# Z23, Z29-Z36
+
+@query(f"""with c as ({S['concepts']}), n as (select rel, "start", "end", a.term as start_term, b.term as end_term from ({S['relations']}) r join c a on r."start" = a.concept join c b on r."end" = b.concept where lower(a.term) <> lower(b.term)), w as (select *, row_number() over (partition by rel order by "start", "end") as k from n) select rel, start_term, end_term from w where k = 1""")
+def relation_examples(spark, d):
+    return evaluate.examples(star.relations(spark, d), star.concepts(spark, d))
+
+
+@query("""with x as (select conv_id, turn, case when turn % 3 = 0 then 'none' else 'Score: ' || (turn * 7 % 11) || '/10' end as answer from conversations) select conv_id, turn, try_cast(nullif(regexp_extract(answer, 'Score: (\\d+)', 1), '') as int) as score from x""")
+def judge_scores(spark, d):
+    answer = F.when(F.col("turn") % 3 == 0, "none").otherwise(F.concat(F.lit("Score: "), (F.col("turn") * 7 % 11).cast("string"), F.lit("/10")))
+    return table(spark, d, "conversations").select("conv_id", "turn", evaluate.judge_score(answer).alias("score"))
+
+
+_ARMS = "with x as (select source as arm, lang as item, (n_chars % 10)::double as b, (n_chars % 13)::double as v from documents)"
+
+
+@query(f"{_ARMS} select arm, round(avg(b), 9) as baseline, round(avg(v), 9) as value, count(*) as n from x group by arm")
+def arm_means(spark, d):
+    x = table(spark, d, "documents").select(F.col("source").alias("arm"), F.col("lang").alias("item"), (F.col("n_chars") % 10).cast("double").alias("b"), (F.col("n_chars") % 13).cast("double").alias("v"))
+    m = evaluate.arms(x, "arm", "item", "b", "v")[0]
+    return m.select("arm", F.round("baseline", 9).alias("baseline"), F.round("value", 9).alias("value"), "n")
+
+
+@query(f"""{_ARMS}, i as (select arm, item, avg(b) as b, avg(v) as v from x group by 1, 2), z as (select arm, round(v - b, 9) as d from i where round(v - b, 9) <> 0), r as (select arm, d, rank() over (partition by arm order by abs(d)) + (count(*) over (partition by arm, abs(d)) - 1) / 2.0 as k from z),
+e as (select arm, count(*) as n_eff, round((sum(case when d > 0 then k else 0 end) - sum(case when d < 0 then k else 0 end)) / (count(*) * (count(*) + 1) / 2), 9) as r_rb from r group by arm), m as (select arm, count(*) as n, round(avg(b), 9) as mean_a, round(avg(v), 9) as mean_b, round((avg(v) - avg(b)) / greatest(avg(b), 1e-9) * 100, 6) as improvement from i group by arm)
+select m.arm, n, mean_a, mean_b, improvement, n_eff, r_rb from m left join e using (arm)""")
+def paired_tests(spark, d):
+    x = table(spark, d, "documents").select(F.col("source").alias("arm"), F.col("lang").alias("item"), (F.col("n_chars") % 10).cast("double").alias("b"), (F.col("n_chars") % 13).cast("double").alias("v"))
+    i = x.groupBy("arm", "item").agg(F.avg("b").alias("b"), F.avg("v").alias("v"))
+    c = evaluate.compared(i, ["arm"], "b", "v")
+    return c.select("arm", "n", F.round("mean_a", 9).alias("mean_a"), F.round("mean_b", 9).alias("mean_b"), F.round("improvement", 6).alias("improvement"), "n_eff", F.round("r_rb", 9).alias("r_rb"))
