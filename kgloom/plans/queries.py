@@ -11,6 +11,7 @@ from kgloom.functions import similarity, textnorm
 from kgloom.operators import analytics, audit, cluster, dedup, evaluate, explain, mapping, rdf, retrieve, stats
 from kgloom.operators.components import connected_components
 from kgloom.session import small, table
+from kgloom.sources import loaders
 from kgloom.sources import star_schema as star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -597,3 +598,111 @@ def paired_tests(spark, d):
     i = x.groupBy("arm", "item").agg(F.avg("b").alias("b"), F.avg("v").alias("v"))
     c = evaluate.compared(i, ["arm"], "b", "v")
     return c.select("arm", "n", F.round("mean_a", 9).alias("mean_a"), F.round("mean_b", 9).alias("mean_b"), F.round("improvement", 6).alias("improvement"), "n_eff", F.round("r_rb", 9).alias("r_rb"))
+
+
+# S19, K3, P9, P10, P17, P20, P21, P25, J9, J21, A2, A3, A7, A16, T6, G10, G13, Z5, Z20, Z41
+
+@query(f"""select s, p, o from ({S['triples']}) where p = '<http://kgloom.example/PartOf>'""")
+def triple_lookup(spark, d):
+    return rdf.lookup(star.triples(spark, d), p="<http://kgloom.example/PartOf>")
+
+
+@query("""with l as (select l_partkey, l_suppkey, l_returnflag, l_linestatus from lineitem), w as (select *, row_number() over (partition by l_partkey order by l_partkey, l_suppkey, l_returnflag, l_linestatus) as n from l) select l_partkey, l_suppkey, l_returnflag, l_linestatus from w where n = 1""")
+def sorted_first(spark, d):
+    return dedup.sorted_first(table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"), ["l_partkey"])
+
+
+@query("""with e as (select doc_id, lang, case doc_id % 4 when 0 then 'ExternalURL' when 1 then 'dbpedia/genre' else 'IsA' end as rel, 'doc ' || doc_id as term, case when doc_id % 3 = 0 then 'wn/act' end as sub, case when doc_id % 8 = 0 then 'http://x/#a' else 'http://x/' || doc_id end as target from documents)
+select term, 'n' as pos, case when sub is not null then 'n/' || sub end as sense, rel, target from e where lang = 'en' and rel <> 'dbpedia/genre' and not (rel = 'ExternalURL' and contains(target, '#'))""")
+def commonsense_load(spark, d):
+    k = F.col("doc_id") % 4
+    e = table(spark, d, "documents").select(
+        F.when(k == 0, "ExternalURL").when(k == 1, "dbpedia/genre").otherwise("IsA").alias("rel"), F.col("lang").alias("start_lang"), F.lit("en").alias("end_lang"), F.concat(F.lit("doc "), "doc_id").alias("start_surface"), F.lit("n").alias("start_pos"),
+        F.when(F.col("doc_id") % 3 == 0, "wn/act").alias("start_subsense"), F.when(F.col("doc_id") % 8 == 0, "http://x/#a").otherwise(F.concat(F.lit("http://x/"), "doc_id")).alias("end_uri"), F.lit("n").alias("end_pos"), F.lit(None).cast("string").alias("end_subsense"), F.lit(1.0).alias("weight"),
+    )
+    e = e.withColumn("end_surface", F.col("end_uri"))
+    kg = loaders.commonsense(e)
+    r = kg.relations.select(F.col("s_term").alias("term"), F.col("s_pos").alias("pos"), F.col("s_sense").alias("sense"), "rel", F.col("e_term").alias("target"))
+    return r.unionByName(kg.urls.select("term", "pos", "sense", F.lit("ExternalURL").alias("rel"), F.col("url").alias("target")))
+
+
+@query("""select source as word, array_to_string(list_sort(list_distinct(list(case when lang = 'en' then 'English' else lang end))), ',') as classes from documents group by source""")
+def word_classes(spark, d):
+    e = table(spark, d, "documents").select(F.col("source").alias("word"), F.col("lang").alias("pos"))
+    return loaders.word_classes(e, mapping.pos_map(spark, [{"en": "English"}])).select("word", F.array_join("classes", ",").alias("classes"))
+
+
+@query("""with w as (select p_brand as word, list_distinct(list(p_type)) as classes from part where p_size % 2 = 0 group by p_brand), r as (select p_partkey, case when p_partkey % 5 = 0 then 'unknown' else p_brand end as target, p_type as class, case when p_partkey % 2 = 0 then 'derived' else 'synonyms' end as kind from part)
+select p_partkey, unnest(case when kind = 'derived' then coalesce(classes, []) when classes is null or list_contains(classes, class) then [class] else classes end) as target_pos from r left join w on r.target = w.word""")
+def target_classes(spark, d):
+    p = table(spark, d, "part")
+    w = loaders.word_classes(p.where("p_size % 2 = 0").select(F.col("p_brand").alias("word"), F.col("p_type").alias("pos")))
+    r = p.select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, "unknown").otherwise(F.col("p_brand")).alias("target"), F.col("p_type").alias("class"), F.when(F.col("p_partkey") % 2 == 0, "derived").otherwise("synonyms").alias("kind"))
+    return loaders.target_pos(r, w, "target", "class", "kind").select("p_partkey", "target_pos")
+
+
+@query("""with recursive known as (select p_partkey as place from part where p_size % 4 = 0), walk(id, place, depth) as (select p_partkey, p_partkey, 0 from part union all select w.id, w.place // 2, w.depth + 1 from walk w where w.depth < 15 and w.place > 1 and w.place not in (select place from known))
+select id, place from walk where place in (select place from known)""")
+def place_chain(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    alternates = p.where("id > 1").select(F.col("id").alias("alt_id"), F.floor(F.col("id") / 2).alias("place"))
+    return loaders.resolved_ids(p, p.where("p_size % 4 = 0"), alternates)
+
+
+@query("""with p as (select page_id, lower(replace(split_part(split_part(url, '#', -1), '/', -1), '_', ' ')) as label from pages) select page_id, label, regexp_matches(label, '^[a-z][a-z ''\\-]{2,24}$') as ok from p""")
+def label_gates(spark, d):
+    return table(spark, d, "pages").select("page_id", textnorm.pair_label("url").alias("label")).withColumn("ok", textnorm.good_label("label"))
+
+
+@query("""with e as (select p_brand as a, p_type as b, count(*) as h from part group by 1, 2), b as (select p_brand as a, p_type as b, count(*) as n from part where p_size < 25 group by 1, 2), g as (select label, count(*) as degree from (select p_brand as label from part union all select p_type from part) group by label)
+select e.a, e.b, h, coalesce(n, 0) as base, h - coalesce(n, 0) as gain from e left join b using (a, b) where h > coalesce(n, 0) and e.a in (select label from g where degree <= (select count(*) // 20 from part)) and e.b in (select label from g where degree <= (select count(*) // 20 from part) * 100)
+and e.b in (select label from g where degree <= (select count(*) // 20 from part))""")
+def differential_pairs(spark, d):
+    p = table(spark, d, "part")
+    pairs = p.select(F.col("p_brand").alias("a"), F.col("p_type").alias("b"), "p_size")
+    h, g = analytics.mined(pairs.select("a", "b"))
+    return analytics.differential(h, analytics.mined(pairs.where("p_size < 25").select("a", "b"))[0], g, p.count() // 20)
+
+
+@query("""select o_custkey, count(*) as n from orders group by 1 order by n desc, o_custkey limit 10""")
+def largest_lists(spark, d):
+    return analytics.largest_lists(table(spark, d, "orders"), "o_custkey", "o_orderkey", 10)
+
+
+@query("""with t as (select o_orderkey as seq, regexp_replace(o_orderpriority, '\\d+$', '') as s, lower(substr(o_orderstatus, 1, 1)) || substr(o_orderstatus, 2) as p, o_custkey % 7 || ' x' as o from orders), w as (select *, row_number() over (partition by lower(s || '|' || p || '|' || o) order by seq) as n from t) select seq, s, p, o from w where n = 1""")
+def clean_contexts(spark, d):
+    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("s"), F.col("o_orderstatus").alias("p"), F.concat((F.col("o_custkey") % 7).cast("string"), F.lit(" x")).alias("o"))
+    return retrieve.clean_context(t)
+
+
+@query("""select l_orderkey, l_linenumber, '<x/' || l_returnflag || '>' as base, '"' || case when l_quantity = floor(l_quantity) then cast(cast(l_quantity as bigint) as varchar) else cast(l_quantity as varchar) end || '"^^<http://www.w3.org/2001/XMLSchema#double>' as o from lineitem""")
+def canonical_numbers(spark, d):
+    li = table(spark, d, "lineitem")
+    t = li.select("l_orderkey", "l_linenumber", F.lit("<a>").alias("s"), F.concat(F.lit("<x/"), "l_returnflag", F.col("l_linenumber").cast("string"), F.lit(">")).alias("p"), F.concat(F.lit('"'), F.col("l_quantity").cast("string"), F.lit('"^^<http://www.w3.org/2001/XMLSchema#double>')).alias("o"))
+    c = textnorm.canonical_triple("s", "p", "o")
+    return t.select("l_orderkey", "l_linenumber", c["p"].alias("base"), c["o"].alias("o"))
+
+
+@query(f"""{_BASE}, {_LIFT}, t as (select cluster, array_to_string(list_sort(list_distinct(list(term))), ', ') as terms from concepts_ join clusters_ using (concept) group by 1), a as (select distinct cluster from concepts_ join clusters_ using (concept) where lower(term) = 'france'), b as (select distinct cluster from concepts_ join clusters_ using (concept) where lower(term) = 'europe')
+select distinct 'forward' as direction, x.terms as start_terms, rel, y.terms as end_terms from lifted l join t x on l.start_cluster = x.cluster join t y on l.end_cluster = y.cluster where (l.start_cluster in (select cluster from a) and l.end_cluster in (select cluster from b))""")
+def word_cluster_relations(spark, d):
+    c = _clusters(spark, d)
+    return explain.cluster_relations_between(cluster.lift(star.relations(spark, d), c), star.concepts(spark, d), c, "France", "Europe")
+
+
+@query("""select n_name as class, r_name as ancestor, 1 as depth from nation join region on n_regionkey = r_regionkey union all select r_name, 'WORLD', 1 from region union all select n_name, 'WORLD', 2 from nation""")
+def class_ancestors(spark, d):
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    c = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("class"), F.col("r_name").alias("parent")).unionByName(r.select(F.col("r_name").alias("class"), F.lit("WORLD").alias("parent")))
+    return mapping.ancestors(spark, c)
+
+
+@query("""with s as (select c_custkey from customer order by md5(cast(c_custkey as varchar) || '|7'), c_custkey limit (select count(*) // 4 from customer)) select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from s)""")
+def fraction_subset(spark, d):
+    ids = audit.fraction_sample(table(spark, d, "customer").select("c_custkey"), "c_custkey", 0.25, "7")
+    return table(spark, d, "orders").join(ids.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+
+
+@query("""select count(*) as n, count(distinct l_partkey) as parts, count(distinct (l_partkey, l_suppkey)) as pairs from lineitem""")
+def totals(spark, d):
+    return table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_partkey", "l_suppkey").alias("pairs"))
