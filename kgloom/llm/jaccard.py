@@ -3,8 +3,8 @@
 1. A sketch of shingle frequencies (a count per hash bucket over all documents) fixes one global order, rare first.
    Any order gives the same links; this one keeps common shingles out of the prefixes.
 2. Documents with equal sets are one class, and its smallest doc_id stands for it.
-3. Each class posts the shingles of its prefix. Postings of a shingle meet in blocks; a hot shingle is cut into a
-   grid of blocks of bounded size. In a block, classes with identical prefix and size collapse into a group, group
+3. Each class posts the shingles of its prefix. A shingle with few postings gives its pairs at once, by length and
+   position. Postings of other shingles meet in blocks; a hot shingle is cut into a grid of blocks of bounded size. In a block, classes with identical prefix and size collapse into a group, group
    pairs are filtered by length and position, and what is left is expanded to members, whose intersection is
    bounded from above by signatures (bucket counts of the set).
 4. Expansion takes two rounds. The first takes only a spanning forest of a block's possible links, best first; these
@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 
 from kgloom.llm.common import BoundedCache, map_rows, words_of
 from kgloom.operators.components import connected_components
-from kgloom.session import staged, table
+from kgloom.session import discard, staged, table
 
 SKETCH, CHUNK = 1 << 20, 1 << 12
 SIGNATURE = 128
 #: Postings of one shingle in a block, about; twice that at the meeting of two parts of a hot one.
 BLOCK = 1024
+#: Postings up to which a shingle's pairs are all looked at at once, without groups, blocks and rounds.
+FEW = 16
 #: Bits of the filter that keeps documents without candidates from being shuffled; its size is fixed.
 FILTER = 1 << 22
 
@@ -106,7 +108,7 @@ def _features(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
                 out["grp"].append(xxhash.xxh3_64_intdigest(p.tobytes(), n) - (1 << 63))
                 out["prefix"].append(p)
                 sig = np.bincount((s & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE)
-                out["sig"].append(sig.astype(np.uint16).tobytes() if n and sig.max() < 1 << 16 else b"")
+                out["sig"].append(sig.astype(np.uint8).tobytes() if n and sig.max() < 1 << 8 else b"")
             return out
 
         return work
@@ -229,7 +231,7 @@ def _candidates(postings: DataFrame, num: int, den: int, forest: bool) -> DataFr
             t = {c: tab.column(c).to_numpy(zero_copy_only=False) for c in columns[:-1]}
             raw = tab.column("sig").to_pylist()
             t["whole"] = np.array([len(x) > 0 for x in raw])
-            t["sig"] = np.frombuffer(b"".join(x or bytes(2 * SIGNATURE) for x in raw), np.uint16).reshape(-1, SIGNATURE)
+            t["sig"] = np.frombuffer(b"".join(x or bytes(SIGNATURE) for x in raw), np.uint8).reshape(-1, SIGNATURE)
             a, b = blocks.links(t)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
@@ -252,13 +254,68 @@ def _candidates(postings: DataFrame, num: int, den: int, forest: bool) -> DataFr
     return sorted_.mapInArrow(run, "a long, b long").distinct()
 
 
+def _few(postings: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct possible links (a, b) of shingles with few postings: all pairs that length, position and then signatures allow.
+
+    Pairs are made distinct before signatures are joined to them, since these are most of the bytes.
+    """
+
+    def pair(batches):
+        import pyarrow as pa
+
+        schema, rest = pa.schema([("a", pa.int64()), ("b", pa.int64())]), None
+
+        def out(tab):
+            token, node, n, pos = (tab.column(c).to_numpy() for c in ("token", "node", "n", "pos"))
+            found = []
+            for d in range(1, FEW):
+                i = np.flatnonzero(token[d:] == token[:-d])
+                if not len(i):
+                    break
+                j = i + d
+                low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                most = np.minimum(n[i] - pos[i], n[j] - pos[j])
+                ok = (node[i] != node[j]) & (den * low >= num * high) & _possible(n[i], n[j], most, num, den)
+                found.append(np.stack([np.minimum(node[i], node[j])[ok], np.maximum(node[i], node[j])[ok]], axis=1))
+            both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=schema)
+
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            rest = now if rest is None else pa.concat_tables([rest, now])
+            token = rest.column("token").to_numpy()
+            cut = np.flatnonzero(token != token[-1]) if len(token) else token
+            if len(cut):
+                yield out(rest.slice(0, int(cut[-1]) + 1))
+                rest = rest.slice(int(cut[-1]) + 1)
+        if rest is not None and rest.num_rows:
+            yield out(rest)
+
+    def allow(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for batch in batches:
+            keep = []
+            for at in range(0, batch.num_rows, 20_000):
+                part = batch.slice(at, 20_000)
+                n1, n2 = part.column("n1").to_numpy(), part.column("n2").to_numpy()
+                raw = [part.column(c).to_pylist() for c in ("s1", "s2")]
+                whole = np.array([len(x) > 0 and len(y) > 0 for x, y in zip(*raw)], bool)
+                x, y = (np.frombuffer(b"".join(v or bytes(SIGNATURE) for v in r), np.uint8).reshape(-1, SIGNATURE) for r in raw)
+                most = np.where(whole, np.minimum(x, y).sum(axis=1, dtype=np.int64), np.minimum(n1, n2))
+                keep.append(_possible(n1, n2, most, num, den))
+            mask = pa.array(np.concatenate(keep) if keep else np.zeros(0, bool))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], schema=schema)
+
+    pairs = postings.where(F.col("m") <= FEW).select("token", "node", "n", "pos").repartition("token").sortWithinPartitions("token").mapInArrow(pair, "a long, b long").distinct()
+    side = lambda x, i: reps.select(F.col("node").alias(x), F.col("n").alias(f"n{i}"), F.col("sig").alias(f"s{i}"))
+    return pairs.join(side("a", 1), "a").join(side("b", 2), "b").mapInArrow(allow, "a long, b long")
+
+
 def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs whose whole sets reach num/den. Sets are made again for documents that have a pair, and only those."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER)).cast("int")
-    bits = np.zeros(FILTER, bool)
-    bits[np.array([r[0] for r in ids.select(bit).distinct().collect()], np.int64)] = True
-    sent = spark.sparkContext.broadcast(np.packbits(bits))
+    sent = _filter(spark, pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
 
     def make():
         packed, hashes = sent.value, BoundedCache(word_hash)
@@ -269,11 +326,13 @@ def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, nu
 
         return work
 
-    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).cast("int").alias("bit"))
+    rows = docs.select("doc_id", "text", _bit("doc_id").alias("bit"))
     sets = staged(spark, map_rows(rows, make, "id long, s array<long>"), "jaccard-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s1")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("s2")), "b")
     both = both.select("a", "b", (F.size("s1") + F.size("s2")).alias("n"), F.size(F.array_intersect("s1", "s2")).alias("common"))
-    return both.where(F.lit(den) * F.col("common") >= F.lit(num) * (F.col("n") - F.col("common"))).select("a", "b").distinct()
+    links = staged(spark, both.where(F.lit(den) * F.col("common") >= F.lit(num) * (F.col("n") - F.col("common"))).select("a", "b").distinct(), "jaccard-links")
+    discard(sets)
+    return links
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -293,14 +352,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int =
     posted = reps.select("node", F.posexplode("prefix").alias("pos", "token"))
     shared = staged(spark, posted.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "jaccard-shared")
     met = posted.join(shared, "token")
-    postings = staged(spark, met.join(reps.select("node", "n", "grp", "sig"), "node"), "jaccard-postings")
+    postings = staged(spark, met.join(reps.select("node", "n", "grp"), "node"), "jaccard-postings")
+    many = postings.where(F.col("m") > FEW).join(reps.select("node", "sig"), "node")
 
-    tried = staged(spark, _candidates(postings.withColumn("label", F.col("node")), num, den, True), "jaccard-tried")
-    links = staged(spark, _verified(spark, docs, tried, k, num, den), "jaccard-links")
+    first_links = _few(postings, reps, num, den).unionByName(_candidates(many.withColumn("label", F.col("node")), num, den, True)).distinct()
+    tried = staged(spark, first_links, "jaccard-tried")
+    links = _verified(spark, docs, tried, k, num, den)
     labels = staged(spark, connected_components(spark, links), "jaccard-labels")
-    named = postings.join(labels.select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = many.join(labels.select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
     others = staged(spark, _candidates(named, num, den, False).join(tried, ["a", "b"], "left_anti"), "jaccard-others")
-    more = staged(spark, _verified(spark, docs, others, k, num, den), "jaccard-more")
+    more = _verified(spark, docs, others, k, num, den)
+    discard(reps, shared, postings, tried, others)
     if not more.isEmpty():
         labels = staged(spark, connected_components(spark, links.unionByName(more)), "jaccard-labels")
     component = classes.join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
@@ -309,18 +371,54 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int =
     return full.unionByName(first.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def _filter(spark: SparkSession, ids: DataFrame, column: str):
+    """A broadcast of FILTER bits that are set for the ids' hashes: of fixed size, and never unset for an id."""
+    bits = np.zeros(FILTER, bool)
+    bits[np.array([r[0] for r in ids.select(_bit(column)).distinct().collect()], np.int64)] = True
+    return spark.sparkContext.broadcast(np.packbits(bits))
+
+
+def _bit(column: str):
+    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER)).cast("int")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without the documents whose component has a smaller doc_id; of rows that repeat a doc_id one stays.
 
-    Rows with a null doc_id link with nothing and all stay.
+    Rows with a null doc_id link with nothing and all stay. Only rows that a filter of fixed size takes for dropped or
+    repeated ones are shuffled to be looked up; all others stay where they are.
     """
-    found = near_duplicates(spark, docs, k, num, den).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies"))
-    found = staged(spark, found.select(F.col("doc_id").alias("_id"), "_copies"), "jaccard-kept")
-    kept = docs.join(found, F.col("doc_id").cast("long") == F.col("_id")).select(*docs.columns, "_copies")
-    once = kept.where("_copies = 1").select(*docs.columns)
-    again = kept.where("_copies > 1").select(*docs.columns).dropDuplicates(["doc_id"]) if found.where("_copies > 1").limit(1).count() else None
-    return (once if again is None else once.unionByName(again)).unionByName(docs.where("doc_id is null"))
+    from pyspark.sql.pandas.functions import pandas_udf
+
+    found = near_duplicates(spark, docs, k, num, den).where("doc_id is not null").groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("copies"))
+    found = found.where("doc_id != component_id or copies > 1").select(F.col("doc_id").alias("_id"), (F.col("doc_id") != F.col("component_id")).alias("_drop"))
+    found = staged(spark, found, "jaccard-dropped")
+    sent = _filter(spark, found, "_id")
+
+    @pandas_udf("boolean")
+    def maybe(bit):
+        b = bit.to_numpy()
+        return bit.__class__((sent.value[b >> 3] >> (7 - (b & 7)) & 1).astype(bool))
+
+    marked = docs.withColumn("_maybe", F.when(F.col("doc_id").isNull(), False).otherwise(maybe(F.coalesce(_bit("doc_id"), F.lit(0)))))
+    asked = marked.where("_maybe").drop("_maybe").join(found, F.col("doc_id").cast("long") == F.col("_id"), "left")
+    free = asked.where("_drop is null").select(*docs.columns)
+    again = asked.where("not _drop").select(*docs.columns).dropDuplicates(["doc_id"])
+    return marked.where("not _maybe").select(*docs.columns).unionByName(free).unionByName(again)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
+SQL = r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select x, y from c join n p on p.doc_id = x join n q on q.doc_id = y where 100 * k >= 90 * (p.n + q.n - k)),
+l as (select x as a, y as b from e union select y, x from e),
+reach(node, other) as (select a, a from l union select r.node, l.b from reach r join l on r.other = l.a),
+cc as (select node, min(other) as low from reach group by node)
+select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(low, d.doc_id) as component_id from documents d left join n using (doc_id) left join cc on cc.node = d.doc_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Classes at most, as their counts are brought to the driver.
+#: Classes at most, the most frequent ones, as their counts are brought to the driver.
 CLASSES = 2000
 
 
@@ -15,7 +15,7 @@ def class_shares(rows: DataFrame, label: str, per_class: int) -> tuple[DataFrame
     Counting covers all rows; the thinning is one comparison a row. The sample is bounded by per_class times the
     number of classes (with the spread of a hash draw).
     """
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(CLASSES).collect()}
+    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(CLASSES).collect()}
     if not counts:
         return rows.limit(0), counts
     share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, per_class / n)))])
