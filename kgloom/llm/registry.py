@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": warc.SQL}
+    return {"op3_jaccard": jaccard.SQL, "op7_warc": warc.SQL}

@@ -463,10 +463,13 @@ def test_pipeline_odd_cases(spark, small, stage):
         assert out.columns == docs.columns
 
 
-def test_warc_sql(spark, small):
+@pytest.mark.parametrize("name", ["op3_jaccard", "op7_warc"])
+def test_sql(spark, small, name):
     from parity import difference
 
-    assert difference(spark, small, warc.op7_warc, warc.SQL) is None
+    from kgloom.llm import registry
+
+    assert difference(spark, small, registry.queries()[name], registry.oracle_sql()[name]) is None
 
 
 def test_queries_are_registered():
