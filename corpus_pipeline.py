@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from kgloom.llm import jaccard, langid, packing, quality, secrets
 from kgloom.session import staged, table
 
-#: Least probability of the predicted language. Texts without a letter (und) have none.
-SURE = 0.5
+#: Least probability of the predicted language; short clean texts between two languages reach it. Texts without a letter
+#: (und) have none.
+SURE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
