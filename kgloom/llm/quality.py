@@ -178,5 +178,5 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     n = ["n_chars"] if "n_chars" in docs.columns else []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *n).withColumn("held_out", held_out(4))
-    model = train(docs.where("not held_out"), table(spark, sf_dir, "labels"))
+    model = train(docs.where("not held_out"), table(spark, sf_dir, "labels").where(~held_out(4)))
     return score_rows(docs, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
