@@ -121,8 +121,63 @@ def _possible(n1, n2, most, num: int, den: int):
     return den * most >= num * (n1 + n2 - most)
 
 
+class _Forest:
+    """A spanning forest of links that come in pieces; it holds the links that joined two trees, and few others."""
+
+    def __init__(self, rows: int, sure: float):
+        self.up, self.sure = np.arange(rows), sure
+        self.kept: list[tuple[int, int]] = []
+        self.later: list[np.ndarray] = []
+
+    def roots(self) -> np.ndarray:
+        while (self.up[self.up] != self.up).any():
+            self.up = self.up[self.up]
+        return self.up
+
+    def apart(self, links: np.ndarray) -> np.ndarray:
+        """Links (i, j, likeness) whose ends are in different trees, the likeliest first."""
+        r = self.roots()
+        links = links[r[links["i"]] != r[links["j"]]]
+        return links[np.lexsort((links["j"], links["i"], -links["like"]))]
+
+    def add(self, links: np.ndarray) -> None:
+        """Links of sure likeness join trees now; others wait, as a better one may come."""
+        links = self.apart(links)
+        sure = links["like"] >= self.sure
+        self.join(links[sure])
+        if (~sure).any():
+            self.later.append(links[~sure])
+        if sum(map(len, self.later)) > 200_000:
+            waiting = self.apart(np.concatenate(self.later))
+            self.later = [waiting] if len(waiting) <= 150_000 else []
+            if not self.later:
+                self.join(waiting)
+
+    def join(self, links: np.ndarray) -> None:
+        up = self.up
+        for i, j in zip(links["i"].tolist(), links["j"].tolist()):
+            x, y = i, j
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            while up[y] != y:
+                up[y] = y = up[up[y]]
+            if x != y:
+                up[y] = x
+                self.kept.append((i, j))
+
+    def finish(self) -> np.ndarray:
+        if self.later:
+            self.join(self.apart(np.concatenate(self.later)))
+            self.later = []
+        return np.array(self.kept, np.int64).reshape(-1, 2)
+
+
+#: A link by row numbers and the greatest similarity it can have.
+_LINK = np.dtype([("i", np.int32), ("j", np.int32), ("like", np.float32)])
+
+
 class _Blocks:
-    """Possible links within sorted runs of postings."""
+    """Possible links within sorted runs of postings. Pairs are looked at in pieces; none are kept but what is returned."""
 
     def __init__(self, num: int, den: int, forest: bool):
         self.num, self.den, self.forest = num, den, forest
@@ -130,13 +185,14 @@ class _Blocks:
     def links(self, t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """t: token, cell, side, diagonal, node, n, pos, grp, label, sig, sorted by token, cell and grp."""
         rows = len(t["node"])
+        self.trees = _Forest(rows, self.num / self.den + 0.03) if self.forest else None
+        self.found: list[np.ndarray] = []
         new_run = np.append(True, (t["token"][1:] != t["token"][:-1]) | (t["cell"][1:] != t["cell"][:-1]))
         new_grp = new_run | np.append(True, (t["grp"][1:] != t["grp"][:-1]) | (t["n"][1:] != t["n"][:-1]))
         run = np.cumsum(new_run) - 1
         start = np.flatnonzero(new_grp)
         size = np.diff(np.append(start, rows))
         grp_run = run[start]
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         # members of one group meet where their first prefix shingle is
         end = np.repeat(start + size, size)
         at = np.flatnonzero(t["pos"] == 0)
@@ -144,7 +200,7 @@ class _Blocks:
             at = at[at + d < end[at]]
             if not len(at):
                 break
-            self.verify(t, at, at + d, found)
+            self.verify(t, at, at + d)
         # pairs of groups, by their distance in the run
         run_end = np.searchsorted(grp_run, grp_run, side="right")
         at = np.arange(len(start))
@@ -155,60 +211,44 @@ class _Blocks:
                 break
             a, b = at, at + d
             low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-            most = np.minimum(1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1, low)
+            most = np.minimum(n[a] - pos[a], n[b] - pos[b])
             ok = (self.den * low >= self.num * high) & _possible(n[a], n[b], most, self.num, self.den)
-            self.expand(t, start, size, a[ok], b[ok], found)
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        i, j, most = (np.concatenate(x) for x in zip(*found))
-        if self.forest:
-            keep = self.spanning(run[i], t["node"], i, j, most / (t["n"][i] + t["n"][j] - most))
-            i, j = i[keep], j[keep]
-        a, b = t["node"][i], t["node"][j]
+            self.expand(t, start, size, a[ok], b[ok])
+        pairs = self.trees.finish() if self.forest else np.concatenate(self.found).reshape(-1, 2) if self.found else np.zeros((0, 2), np.int64)
+        a, b = t["node"][pairs[:, 0]], t["node"][pairs[:, 1]]
         return np.minimum(a, b), np.maximum(a, b)
 
-    def expand(self, t, start, size, a, b, found) -> None:
-        """Group pairs to member pairs, at most about two million at once."""
+    def expand(self, t, start, size, a, b) -> None:
+        """Group pairs to member pairs, at most about 200,000 at once."""
         single = (size[a] == 1) & (size[b] == 1)
-        self.verify(t, start[a[single]], start[b[single]], found)
+        self.verify(t, start[a[single]], start[b[single]])
         for g, h in zip(a[~single], b[~single]):
-            step = max(1, 2_000_000 // size[h])
+            step = max(1, 200_000 // size[h])
             for x in range(0, size[g], step):
                 i = np.arange(start[g] + x, start[g] + min(x + step, size[g]))
                 j = np.arange(start[h], start[h] + size[h])
-                self.verify(t, np.repeat(i, len(j)), np.tile(j, len(i)), found)
+                self.verify(t, np.repeat(i, len(j)), np.tile(j, len(i)))
 
-    def verify(self, t, i, j, found) -> None:
-        """Keeps pairs of different nodes that the signatures allow."""
+    def verify(self, t, i, j) -> None:
+        """Takes pairs of different nodes that the signatures allow."""
         ok = (t["node"][i] != t["node"][j]) & (t["diagonal"][i] | (t["side"][i] != t["side"][j]))
         if not self.forest:
             ok &= t["label"][i] != t["label"][j]
         i, j = i[ok], j[ok]
-        for at in range(0, len(i), 100_000):
-            p, q = i[at : at + 100_000], j[at : at + 100_000]
+        for at in range(0, len(i), 20_000):
+            p, q = i[at : at + 20_000], j[at : at + 20_000]
             most = np.minimum(t["sig"][p], t["sig"][q]).sum(axis=1, dtype=np.int64)
-            most = np.where(t["whole"][p] & t["whole"][q], most, np.minimum(t["n"][p], t["n"][q]))
-            good = _possible(t["n"][p], t["n"][q], most, self.num, self.den)
-            if good.any():
-                found.append((p[good], q[good], most[good]))
-
-    def spanning(self, run, node, i, j, likeness) -> np.ndarray:
-        """Of each run's links a spanning forest, the likeliest first and then by node."""
-        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-        keep, now, up = [], -1, {}
-        for x in np.lexsort((b, a, -likeness, run)):
-            if run[x] != now:
-                now, up = run[x], {}
-            ends = []
-            for v in (a[x], b[x]):
-                while up.get(v, v) != v:
-                    up[v] = up.get(up[v], up[v])
-                    v = up[v]
-                ends.append(v)
-            if ends[0] != ends[1]:
-                up[ends[1]] = ends[0]
-                keep.append(x)
-        return np.array(keep, np.int64)
+            n1, n2 = t["n"][p], t["n"][q]
+            most = np.where(t["whole"][p] & t["whole"][q], most, np.minimum(n1, n2))
+            good = _possible(n1, n2, most, self.num, self.den)
+            if not good.any():
+                continue
+            if self.forest:
+                links = np.empty(int(good.sum()), _LINK)
+                links["i"], links["j"], links["like"] = p[good], q[good], (most / (n1 + n2 - most))[good]
+                self.trees.add(links)
+            else:
+                self.found.append(np.stack([p[good], q[good]], axis=1).astype(np.int32))
 
 
 def _candidates(postings: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
@@ -239,7 +279,7 @@ def _candidates(postings: DataFrame, num: int, den: int, forest: bool) -> DataFr
         for batch in batches:
             now = pa.Table.from_batches([batch])
             rest = now if rest is None else pa.concat_tables([rest, now])
-            if rest.num_rows < 4096:
+            if rest.num_rows < 2 * BLOCK:
                 continue
             token, cell = rest.column("token").to_numpy(), rest.column("cell").to_numpy()
             cut = np.flatnonzero((token != token[-1]) | (cell != cell[-1]))
