@@ -22,6 +22,30 @@ def held_out(n: int, column: str = "doc_id") -> Column:
     return F.coalesce(crc_mod(column, n) == 2, F.lit(False))
 
 
+#: Rows of an Arrow batch of whole texts; Spark's default of 10,000 takes tens of MB in the JVM and again in Python.
+BATCH = 1000
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches at most BATCH rows long; a shorter setting stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, str(BATCH))
+    return df
+
+
+def give_back() -> None:
+    """Returns memory that a finished task has freed; workers are used again and would keep it."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, slice_: int = SLICE) -> DataFrame:
     """mapInArrow over slices of columns: make() runs once a task, its result maps {column: list} to {column: list}."""
 
@@ -32,12 +56,14 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
                 out = work(batch.slice(at, slice_).to_pydict())
                 if out is not None:
                     yield pa.RecordBatch.from_pydict(out, schema=arrow)
+        del work
+        give_back()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    return df.mapInArrow(run, schema)
+    return short_batches(df).mapInArrow(run, schema)
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import BoundedCache, map_rows, words_of
+from kgloom.llm.common import BoundedCache, give_back, map_rows, short_batches, words_of
 from kgloom.operators.components import connected_components
 from kgloom.session import discard, staged, table
 
@@ -73,6 +73,8 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
         chunks = total.reshape(-1, CHUNK)
         used = np.flatnonzero(chunks.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([chunks[i].tobytes() for i in used], pa.binary())], names=["chunk", "counts"])
+        del hashes, total, chunks
+        give_back()
 
     def add(batches):
         import pyarrow as pa
@@ -84,7 +86,7 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
                 total[i] = total[i] + part if i in total else part
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["chunk", "counts"])
 
-    parts = docs.select("text").mapInArrow(count, "chunk int, counts binary")
+    parts = short_batches(docs.select("text")).mapInArrow(count, "chunk int, counts binary")
     out = np.zeros((SKETCH // CHUNK, CHUNK), np.int64)
     for r in parts.repartition(32, "chunk").mapInArrow(add, "chunk int, counts binary").collect():
         out[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
@@ -289,6 +291,8 @@ def _candidates(postings: DataFrame, num: int, den: int, forest: bool) -> DataFr
                 rest = rest.slice(cut)
         if rest is not None:
             yield from out(rest)
+        del rest, blocks
+        give_back()
 
     sorted_ = dealt.select(*columns).repartition("token", "cell").sortWithinPartitions("token", "cell", "grp", "n", "node")
     return sorted_.mapInArrow(run, "a long, b long").distinct()

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import held_out, map_rows
+from kgloom.llm.common import held_out, map_rows, short_batches
 from kgloom.llm.sampling import class_shares
 from kgloom.session import table
 
@@ -160,7 +160,7 @@ def identified(docs: DataFrame, model: dict | None) -> DataFrame:
 
         return pd.DataFrame([predict(sent.value, t) for t in s], columns=["lang_pred", "lang_score"])
 
-    return docs.withColumn("_lang", of(F.col("text"))).select(*docs.columns, "_lang.lang_pred", "_lang.lang_score")
+    return short_batches(docs).withColumn("_lang", of(F.col("text"))).select(*docs.columns, "_lang.lang_pred", "_lang.lang_score")
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

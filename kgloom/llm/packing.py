@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgloom.llm.common import short_batches
 from kgloom.session import table
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -160,7 +161,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end: int = 0) -> DataFram
         if rows:
             yield out()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
+    return short_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, PIECE)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

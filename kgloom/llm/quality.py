@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import BoundedCache, held_out, map_rows
+from kgloom.llm.common import BoundedCache, held_out, map_rows, short_batches
 from kgloom.llm.sampling import class_shares
 from kgloom.session import table
 
@@ -171,7 +171,7 @@ def scored(docs: DataFrame, model: dict | None) -> DataFrame:
         buckets = BoundedCache(bucket)
         return pd.Series([score(sent.value, *features(t, None if pd.isna(k) else int(k), buckets)) for t, k in zip(text, n)])
 
-    return _with_length(docs).withColumn("quality_score", of(F.col("text"), F.col("_n"))).select(*docs.columns, "quality_score")
+    return _with_length(short_batches(docs)).withColumn("quality_score", of(F.col("text"), F.col("_n"))).select(*docs.columns, "quality_score")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from re import _parser as parser
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import map_rows
+from kgloom.llm.common import map_rows, short_batches
 from kgloom.session import table
 
 #: (kind, regex, group, least characters of that group). The first three are the base; the order is the order of ties.
@@ -205,7 +205,7 @@ def redact_column(docs: DataFrame, text: str = "text", n_chars: str | None = "n_
         return pd.Series(out, dtype=object)
 
     same = docs.columns
-    out = docs.withColumn("_clean", clean(F.col(text)))
+    out = short_batches(docs).withColumn("_clean", clean(F.col(text)))
     if n_chars in same:
         out = out.withColumn(n_chars, F.when(F.col("_clean") == F.col(text), F.col(n_chars)).otherwise(F.length("_clean").cast(docs.schema[n_chars].dataType)))
     return out.withColumn(text, F.col("_clean")).select(*same)
