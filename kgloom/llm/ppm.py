@@ -7,6 +7,10 @@ longest grams (shorter ones are their suffixes). A symbol's probability is that
 symbols of the longer context are excluded from the shorter one. As the trie is fixed while scoring, the probability of each gram that training
 saw is one lookup; only other positions walk down the orders, all of them at once in numpy.
 
+All counts take part. The probabilities of the most frequent grams go by broadcast; every other gram of a text meets the
+whole trie in a shuffle by its nearest context bytes, which all contexts of SHARED bytes and more have in common, so that a
+bucket holds all that its walks need but for the orders below SHARED, whose counts go to every task.
+
 Word counts for the unigram base are exact: the most frequent words go by broadcast, of bounded number and length,
 and all others by a join on the word.
 """
@@ -19,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import held_out, map_rows, words_of
+from kgloom.llm.common import give_back, held_out, map_rows, words_of
 from kgloom.session import staged, table
 
 ORDER = 5
@@ -27,9 +31,12 @@ ORDER = 5
 START, SEP, END = 0x09, 0x20, 0x0A
 #: Symbols that can follow: all bytes but white space, the separator and the end.
 ALPHABET = 252
-#: Grams of the trie's longest order, and words of the broadcast table, at most; what is rarer is left to
-#: shorter contexts (grams) or to the join (words).
+#: Grams and words of the broadcast tables, at most; what is rarer is looked up by a shuffle.
 GRAMS, FREQUENT, WORD_BYTES = 2_000_000, 1 << 18, 48
+#: Context bytes that deal the trie, and so many buckets of them; at most 252 ** SHARED grams are of lower orders.
+SHARED, BUCKETS = 2, 1 << 10
+#: Asked grams of a bucket that are answered at once.
+ASKED = 1 << 17
 #: Rows that one task holds before it hands its counts on.
 HELD = 400_000
 #: The end of a text as a token; no word holds white space.
@@ -90,17 +97,22 @@ class Table:
 
 
 class Model:
-    """The fixed trie: per order its contexts (n, q, count excluded from the shorter one) and grams (count)."""
+    """The fixed trie: per order its contexts (n, q, count excluded from the shorter one) and grams (count).
+
+    keys may be whole buckets of the grams only; orders below SHARED then come from `short`, of all grams.
+    """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, short: tuple[np.ndarray, np.ndarray] | None = None):
         self.grams, self.count, self.contexts, self.n, self.q, self.out = [], [], [], [], [], []
         levels = []
         for k in range(ORDER, -1, -1):
-            short = keys & low(k)
-            order = np.argsort(short, kind="stable")
-            short, counts = short[order], counts[order]
-            first = np.flatnonzero(np.append(True, short[1:] != short[:-1])) if len(short) else order
-            keys, counts = short[first], np.add.reduceat(counts, first) if len(first) else counts
+            if short is not None and k == SHARED - 1:
+                keys, counts = short
+            cut = keys & low(k)
+            order = np.argsort(cut, kind="stable")
+            cut, counts = cut[order], counts[order]
+            first = np.flatnonzero(np.append(True, cut[1:] != cut[:-1])) if len(cut) else order
+            keys, counts = cut[first], np.add.reduceat(counts, first) if len(first) else counts
             levels.insert(0, (keys, counts))
         for k, (g, c) in enumerate(levels):
             ctx, first = np.unique(g >> 8, return_index=True)
@@ -233,40 +245,103 @@ def _most(counts: DataFrame, most: int) -> int:
     return 1 if total <= most else least
 
 
-def train(spark: SparkSession, docs: DataFrame, grams: int = GRAMS, frequent: int = FREQUENT) -> tuple[Model, tuple, DataFrame, int, int]:
-    """(model, frequent words' counts, all word counts (word, n), N, V) of the texts in docs."""
+def train(spark: SparkSession, docs: DataFrame, grams: int = GRAMS, frequent: int = FREQUENT) -> tuple[DataFrame, tuple, tuple, tuple, DataFrame, int, int]:
+    """(trie (gram, n), its orders below SHARED, frequent grams' log10 probabilities, frequent words' counts, all word counts (word, n), N, V) of the texts in docs."""
     both = staged(spark, _counts(docs), "ppm-counts")
     trie = staged(spark, both.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
-    kept = trie.where(F.col("n") >= _most(trie, grams)).toArrow()
-    model = Model(kept.column("gram").to_numpy(), kept.column("n").to_numpy())
-    del kept
+    short = trie.groupBy(F.col("gram").bitwiseAND(F.lit(low(SHARED - 1))).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    context = F.shiftright("gram", 8).alias("context")
+    of = trie.groupBy(context).agg(F.sum("n").alias("of"))
+    top = trie.where(F.col("n") >= _most(trie, grams)).select("gram", "n", context).join(of, "context").select("gram", F.log10((2 * F.col("n") - 1) / (2 * F.col("of"))).cast("float").alias("log")).toArrow()
     words = staged(spark, both.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "ppm-words")
     row = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     few = words.where((F.col("n") >= _most(words, frequent)) & (F.length("word") <= WORD_BYTES)).toArrow()
     # words are joined by the byte that none holds, so that a few buffers go by broadcast and not as many objects
     table_ = (b"\t".join(w for c in few.column("word").chunks for w in c.to_pylist()), few.column("n").to_numpy())
-    return model, table_, words, row["n"], row["v"]
+    numpy = lambda t, *names: tuple(t.column(c).to_numpy() for c in names)
+    return trie, numpy(short, "gram", "n"), numpy(top, "gram", "log"), table_, words, row["n"], row["v"]
 
 
 def _word_counts(table_: tuple[bytes, np.ndarray]) -> dict[bytes, int]:
     return dict(zip(table_[0].split(b"\t"), table_[1].tolist())) if len(table_[1]) else {}
 
 
+def _rest_logs(trie: DataFrame, asked: DataFrame, short) -> DataFrame:
+    """(key, gram_logs): log10 probabilities of the asked grams (key, gram, n) by the whole trie, summed by key.
+
+    Trie and asked grams are dealt by bucket and sorted so that a bucket's part of the trie comes first; the asked ones
+    are answered in pieces.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("key", pa.int64()), ("logs", pa.float64())])
+        none = np.zeros(0, np.int64)
+        now, model, size = None, None, 0
+        held: list[tuple] = []
+        waiting: list[tuple] = []
+
+        def answer():
+            nonlocal size
+            if waiting:
+                keys, grams, n = (np.concatenate(x) for x in zip(*waiting))
+                waiting.clear()
+                size = 0
+                distinct, back = np.unique(keys, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.bincount(back, n * model.log10(grams), len(distinct)))], schema=schema)
+
+        for batch in batches:
+            bucket, asks, keys, grams, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "asks", "key", "gram", "n"))
+            kind = bucket.astype(np.int64) * 2 + asks
+            edges = [0, *(np.flatnonzero(kind[1:] != kind[:-1]) + 1).tolist(), len(kind)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if bucket[a] != now:
+                    yield from answer()
+                    now, model = bucket[a], None
+                    held.clear()
+                if not asks[a]:
+                    held.append((grams[a:b], n[a:b]))
+                    continue
+                if model is None:
+                    model = Model(*(np.concatenate(x) for x in zip((none, none), *held)), sent.value)
+                    held.clear()
+                waiting.append((keys[a:b], grams[a:b], n[a:b]))
+                size += b - a
+                if size >= ASKED:
+                    yield from answer()
+        yield from answer()
+        del model
+        give_back()
+
+    sent = trie.sparkSession.sparkContext.broadcast(short)
+    part = lambda df, asks, key: df.select(F.lit(asks).alias("asks"), key.alias("key"), "gram", F.col("n").cast("long").alias("n"))
+    rows = part(trie, False, F.lit(-1).cast("long")).unionByName(part(asked, True, F.col("key")))
+    near = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * SHARED) - 1))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(near), F.lit(BUCKETS)).cast("int"))
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "asks").mapInArrow(run, "key long, logs double").groupBy("key").agg(F.sum("logs").alias("gram_logs"))
+
+
 def score(spark: SparkSession, docs: DataFrame, train_docs: DataFrame) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score and score of every whole text of docs (key, doc_id, held_out, text).
 
     Null and empty texts are their end alone. Repeated rows are scored each. A model of no training text spreads
     evenly over the alphabet.
     """
-    model, frequent, words, total, distinct = train(spark, train_docs)
-    sent = spark.sparkContext.broadcast((model, frequent))
+    trie, short, top, frequent, words, total, distinct = train(spark, train_docs)
+    sent = spark.sparkContext.broadcast((top, frequent))
 
     def make():
-        trie, counts = sent.value[0], _word_counts(sent.value[1])
+        import pyarrow as pa
+
+        (keys_, known_logs), counts = sent.value[0], _word_counts(sent.value[1])
+        rows = Table(keys_)
         logs = {}
 
         def work(x: dict) -> dict:
-            out: dict[str, list] = {c: x[c] for c in ("key", "doc_id", "held_out")} | {c: [] for c in ("n_tokens", "n_known", "logs", "score", "rest")}
+            out: dict[str, list] = {c: x[c] for c in ("key", "doc_id", "held_out")} | {c: [] for c in ("n_tokens", "n_known", "logs", "rest")}
             streams = []
             for text in x["text"]:
                 w = words_of(text)
@@ -290,23 +365,35 @@ def score(spark: SparkSession, docs: DataFrame, train_docs: DataFrame) -> DataFr
                 out["rest"].append([{"word": a, "n": n} for a, n in rest])
             keys, at = grams_of(b"".join(streams))
             ends = np.cumsum([len(s) for s in streams])
-            sums = np.append(0.0, np.cumsum(trie.log10(keys)))[np.searchsorted(at, np.append(0, ends))]
-            out["score"] = np.diff(sums).tolist()
+            cuts = np.searchsorted(at, np.append(0, ends))
+            row = rows.find(keys)
+            seen = np.zeros(len(keys))
+            seen[row >= 0] = known_logs[row[row >= 0]]
+            out["score"] = np.diff(np.append(0.0, np.cumsum(seen))[cuts]).tolist()
+            asked, n, offsets = [], [], [0]
+            for a, b in zip(cuts, cuts[1:]):
+                g, c = np.unique(keys[a:b][row[a:b] < 0], return_counts=True)
+                asked.append(g)
+                n.append(c)
+                offsets.append(offsets[-1] + len(g))
+            grams = pa.StructArray.from_arrays([pa.array(np.concatenate(asked), pa.int64()), pa.array(np.concatenate(n), pa.int64())], ["gram", "n"])
+            out["grams"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), grams)
             return out
 
         return work
 
-    first = staged(spark, map_rows(docs.select("key", "doc_id", "held_out", "text"), make, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rest array<struct<word:binary,n:long>>"), "ppm-first")
+    first = staged(spark, map_rows(docs.select("key", "doc_id", "held_out", "text"), make, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rest array<struct<word:binary,n:long>>, grams array<struct<gram:long,n:long>>"), "ppm-first")
     rest = first.select("key", F.explode("rest").alias("r")).select("key", F.col("r.word").alias("word"), F.col("r.n").alias("k"))
     found = rest.join(words, "word").groupBy("key").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more_logs"))
-    return first.drop("rest").join(found, "key", "left").select(
+    asked = first.select("key", F.explode("grams").alias("g")).select("key", "g.gram", "g.n")
+    return first.drop("rest", "grams").join(found, "key", "left").join(_rest_logs(trie, asked, short), "key", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("gram_logs", F.lit(0.0))).alias("score"),
     )
 
 

@@ -325,6 +325,16 @@ def test_ppm_is_the_plain_method(spark):
         assert got[i]["score"] == pytest.approx(naive_log(model, ppm.ORDER, t), abs=1e-3)
 
 
+def test_ppm_counts_of_rare_grams(spark, monkeypatch):
+    monkeypatch.setattr(ppm.train, "__defaults__", (20, 3))
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 12))) for _ in range(120)] + ["ab ab ab " * 30, None, "中文 abc"]
+    docs = spark.createDataFrame([(i, i, i % 3 == 2, t) for i, t in enumerate(texts)], "key long, doc_id long, held_out boolean, text string").repartition(4)
+    model = naive_ppm([t for i, t in enumerate(texts) if i % 3 != 2], ppm.ORDER)
+    for r in ppm.score(spark, docs, docs.where("not held_out")).collect():
+        assert r["score"] == pytest.approx(naive_log(model, ppm.ORDER, texts[r["doc_id"]]), abs=1e-3)
+
+
 def test_ppm_sums_to_one():
     buffer = b"".join(ppm.stream(common.words_of(t)) for t in ("the cat", "the hat then", "a"))
     keys, n = np.unique(ppm.grams_of(buffer)[0], return_counts=True)
