@@ -403,8 +403,8 @@ _KW = ["the", "of", "and"]
 
 
 def _doc_triples(spark, d):
-    first = F.regexp_replace(F.substring_index("text", ".", 1), r"\s+", "_")
-    return table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("s"), F.lit("mentions").alias("p"), first.alias("o")).unionByName(table(spark, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("s"), F.lit("isA").alias("p"), first.alias("o")))
+    whole = F.regexp_replace("text", r"\s+", "_")
+    return table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("s"), F.lit("mentions").alias("p"), whole.alias("o")).unionByName(table(spark, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("s"), F.lit("isA").alias("p"), whole.alias("o")))
 
 
 @query(f"""with {_DT} select distinct s, p, o from t where """ + " or ".join(f"regexp_matches(o, '(?i)(^|[^a-zA-Z0-9]){k}([^a-zA-Z0-9]|$)')" for k in _KW))

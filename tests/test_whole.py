@@ -3,6 +3,8 @@
 The SQL of these queries still reads a part of them (see README.md), so that it cannot tell.
 """
 
+import re
+
 import pyarrow.parquet as pq
 
 from kgloom.plans.registry import QUERIES
@@ -31,3 +33,12 @@ def test_parts_share_all_orders(spark, small):
     want = {(p, min(g)) for g in groups.values() for p in g}
     got = {(r["concept"], r["cluster"]) for r in QUERIES["cluster_coherent"](spark, small).collect()}
     assert {x for x in got if x[0].startswith("p:")} == want
+
+
+def test_keywords_of_whole_texts(spark, small):
+    texts = [(f"d{r['doc_id']}", "mentions", r["text"]) for r in read(small, "documents", "doc_id", "text")] + [(f"b{r['item_id']}", "isA", r["text"]) for r in read(small, "benchmark", "item_id", "text")]
+    triples = {(s, p, re.sub(r"[ \t\n\x0b\f\r]+", "_", t)) for s, p, t in texts if t is not None}
+    found = [{t for t in triples if re.search(f"(^|[^a-zA-Z0-9]){k}([^a-zA-Z0-9]|$)", t[2], re.I)} for k in ("the", "of", "and")]
+    assert {tuple(r) for r in QUERIES["subgraph_kw"](spark, small).select("s", "p", "o").collect()} == set().union(*found)
+    r = QUERIES["keyword_metrics"](spark, small).first()
+    assert (r["hit_rate"], r["relation_diversity"], r["subgraph_volume"]) == (round(sum(map(bool, found)) * 100 / 3, 9), 2, len(triples))
