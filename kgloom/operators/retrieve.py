@@ -132,6 +132,62 @@ def pair_distances(found: DataFrame, targets: DataFrame) -> DataFrame:
     return found.join(a, "source").join(b, "node").where("u < v").groupBy("u", "v").agg(F.min("hops").alias("hops"))
 
 
+def _packed(df: DataFrame, key: str, vector: str, block: int) -> DataFrame:
+    """(ids, m): blocks of at most `block` rows in the order of their keys, vectors as bytes of one matrix; zeros for null."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                ids = batch.column("id").slice(at, block).to_numpy(zero_copy_only=False)
+                rows = batch.column("v").slice(at, block).to_pylist()
+                wide = max((len(r) for r in rows if r is not None), default=0)
+                m = np.array([r if r is not None else [0.0] * wide for r in rows], np.float32 if single else np.float64).reshape(len(ids), wide)
+                order = np.argsort(ids, kind="stable")
+                yield pa.RecordBatch.from_arrays([pa.array([ids[order].tolist()], pa.list_(pa.int64())), pa.array([m[order].tobytes()], pa.binary())], names=["ids", "m"])
+
+    single = df.schema[vector].dataType.simpleString() == "array<float>"
+    return staged(df.sparkSession, df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).mapInArrow(run, "ids array<long>, m binary"), "blocks")
+
+
+def nearest(spark: SparkSession, rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 1000) -> DataFrame:
+    """(q, id, c): cosines that hold every query's k largest over all rows but those of its own key.
+
+    Blocks of queries meet blocks of rows; each pair of blocks is one product of matrices, of which k rows a query stay
+    (of equal cosines the smaller key). c is null where a vector is null or zero.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def unit(m, n):
+            m = np.frombuffer(m, np.float32 if single else np.float64).reshape(n, -1).astype(float)
+            size = np.sqrt((m * m).sum(axis=1))
+            return m / np.where(size > 0, size, 1)[:, None], size > 0
+
+        for batch in batches:
+            for x in range(batch.num_rows):
+                q, ids = (np.array(batch.column(c)[x].as_py(), np.int64) for c in ("q", "ids"))
+                (a, some_a), (b, some_b) = unit(batch.column("qm")[x].as_py(), len(q)), unit(batch.column("m")[x].as_py(), len(ids))
+                wide = max(a.shape[1], b.shape[1])
+                a, b = (np.pad(y, ((0, 0), (0, wide - y.shape[1]))) for y in (a, b))
+                c = np.where(some_a[:, None] & some_b[None, :], a @ b.T, -2.0)
+                c[q[:, None] == ids[None, :]] = -3.0
+                best = np.argsort(-c, axis=1, kind="stable")[:, :k]
+                c = np.take_along_axis(c, best, axis=1).ravel()
+                keep = c > -3
+                c = c[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, best.shape[1])[keep]), pa.array(ids[best].ravel()[keep]), pa.array(c, pa.float64(), mask=c == -2)], names=["q", "id", "c"])
+
+    single = rows.schema[vector].dataType.simpleString() == "array<float>" == queries.schema[vector].dataType.simpleString()
+    pack = lambda df: _packed(df if single else df.withColumn(vector, F.col(vector).cast("array<double>")), key, vector, block)
+    pairs = pack(rows).crossJoin(pack(queries).select(F.col("ids").alias("q"), F.col("m").alias("qm")))
+    return pairs.mapInArrow(run, "q long, id long, c double")
+
+
 def top_k_mean(scores: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame:
     """(key, mean) of the k largest scores."""
     from pyspark.sql import Window

@@ -5,8 +5,11 @@ The SQL of these queries still reads a part of them (see README.md), so that it
 
 import re
 
+import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
+from kgloom.operators import retrieve
 from kgloom.plans.registry import QUERIES
 
 
@@ -42,3 +45,22 @@ def test_keywords_of_whole_texts(spark, small):
     assert {tuple(r) for r in QUERIES["subgraph_kw"](spark, small).select("s", "p", "o").collect()} == set().union(*found)
     r = QUERIES["keyword_metrics"](spark, small).first()
     assert (r["hit_rate"], r["relation_diversity"], r["subgraph_volume"]) == (round(sum(map(bool, found)) * 100 / 3, 9), 2, len(triples))
+
+
+def test_cosine_search_of_every_hundredth_row(spark, small):
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in read(small, "embeddings", "vec_id", "embedding")}
+    unit = {k: v / np.linalg.norm(v) for k, v in rows.items()}
+    want = {q: np.mean(sorted((v @ unit[q] for k, v in unit.items() if k != q), reverse=True)[:10]) for q in rows if q % 100 == 0}
+    assert {r["q"]: r["mean"] for r in QUERIES["topk_cosine"](spark, small).collect()} == pytest.approx(want, abs=1e-8)
+
+
+def test_cosine_search_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.integers(-2, 3, (90, 3)).astype(float))] + [(90, [0.0, 0.0, 0.0]), (91, None)]
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(3)
+    got = sorted(tuple(r) for r in retrieve.nearest(spark, df, df.where("id % 10 = 0"), "id", "v", 4, block=7).collect())
+    pairs = [(q, i, None if a is None or b is None or not any(a) or not any(b) else np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))) for q, a in rows if q % 10 == 0 for i, b in rows if i != q]
+    for q in range(0, 91, 10):
+        best = sorted((x[2] for x in pairs if x[0] == q and x[2] is not None), reverse=True)[:4]
+        mine = sorted((x[2] for x in got if x[0] == q and x[2] is not None), reverse=True)[:4]
+        assert mine == pytest.approx(best) and any(x[0] == q for x in got)
