@@ -350,7 +350,7 @@ def set_diff(spark, d):
 n as (select k, count(*) as n from a group by k), c as (select k, count(*) as common from (select * from a intersect all select * from b) group by k) select n.k, n, coalesce(common, 0) as common, round(coalesce(common, 0) / n, 9) as recall from n left join c using (k)""")
 def overlap_recall(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("k"), F.col("o_orderpriority").alias("v"), "o_orderkey")
-    side = lambda r: o.where(F.col("o_orderkey") % 3 == r).select("k", "v")
+    side = lambda r: o.where(F.col("o_orderkey") % 2 == r).select("k", "v")
     return analytics.overlap(side(0), side(1), "k").withColumn("recall", F.round("recall", 9))
 
 
@@ -464,7 +464,7 @@ _RATINGS = "with v as (select o_orderkey as item, unnest([1, 2, 3]) as rater, (o
 
 
 def _ratings(spark, d):
-    v = table(spark, d, "orders").where("o_orderkey % 10 < 8").select(F.col("o_orderkey").alias("item"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("rater"))
+    v = table(spark, d, "orders").select(F.col("o_orderkey").alias("item"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("rater"))
     return v.withColumn("value", (F.col("item") % 5 + (F.col("item") * F.col("rater")) % 3).cast("double"))
 
 

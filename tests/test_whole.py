@@ -4,6 +4,7 @@ The SQL of these queries still reads a part of them (see README.md), so that it
 """
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -64,3 +65,22 @@ def test_cosine_search_in_blocks(spark):
         best = sorted((x[2] for x in pairs if x[0] == q and x[2] is not None), reverse=True)[:4]
         mine = sorted((x[2] for x in got if x[0] == q and x[2] is not None), reverse=True)[:4]
         assert mine == pytest.approx(best) and any(x[0] == q for x in got)
+
+
+def test_all_orders_are_rated(spark, small):
+    x = np.array([[k % 5 + k * r % 3 for r in (1, 2, 3)] for k in (r["o_orderkey"] for r in read(small, "orders", "o_orderkey"))], float)
+    observed = np.mean([np.mean([(a[i] - a[j]) ** 2 for i in range(3) for j in range(3) if i != j]) for a in x])
+    all_ = x.ravel()
+    expected = 2 * all_.size * all_.var() / (all_.size - 1)
+    assert QUERIES["kripp_alpha"](spark, small).first()["alpha"] == pytest.approx(1 - observed / expected, abs=1e-8)
+
+
+def test_overlap_covers_all_orders(spark, small):
+    sides = [Counter(), Counter()]
+    for r in read(small, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority"):
+        sides[r["o_orderkey"] % 2][r["o_orderstatus"], r["o_orderpriority"]] += 1
+    n, common = Counter(), Counter()
+    for (k, v), m in sides[0].items():
+        n[k] += m
+        common[k] += min(m, sides[1][k, v])
+    assert {r["k"]: (r["n"], r["common"], r["recall"]) for r in QUERIES["overlap_recall"](spark, small).collect()} == {k: (n[k], common[k], pytest.approx(common[k] / n[k], abs=1e-8)) for k in n}
