@@ -21,6 +21,8 @@ from kgloom.session import table
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Windows of one partition at most; a sequence's id is the partition's number times this, plus its number there.
 STRIDE = 1 << 32
+#: White space of so many characters in a row goes to the merges without the encoder's pattern, whose engine fails on more.
+RUN = 100_000
 
 
 class SumOfSquares:
@@ -104,7 +106,7 @@ def encoder(path: str):
     import public_tokenizers
     import tiktoken
 
-    from kgloom.llm.bpe import byte_chars
+    from kgloom.llm.bpe import SPACE, byte_chars
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -113,10 +115,23 @@ def encoder(path: str):
     coder = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     cut = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
 
+    run = re.compile(f"[{SPACE}]{{{RUN},}}")
+
+    def ordinary(text: str) -> list[int]:
+        if len(text) < RUN:
+            return coder.encode_ordinary(text)
+        # by the pattern, a run before other text is a word but for its last character
+        out, at = [], 0
+        for m in run.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            out += coder.encode_ordinary(text[at : m.start()]) + coder._encode_single_piece(text[m.start() : end])
+            at = end
+        return out + coder.encode_ordinary(text[at:])
+
     def encode(text: str) -> bytes:
         if cut is None or not cut.search(text):
-            return np.array(coder.encode_ordinary(text), "<u4").tobytes()
-        parts = [[added[p]] if p in added else coder.encode_ordinary(p) for p in cut.split(text) if p]
+            return np.array(ordinary(text), "<u4").tobytes()
+        parts = [[added[p]] if p in added else ordinary(p) for p in cut.split(text) if p]
         return np.array([i for p in parts for i in p], "<u4").tobytes()
 
     return encode

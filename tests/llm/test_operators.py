@@ -183,6 +183,15 @@ def test_packing_holds_each_id_once(spark):
     assert packing.pack(docs.limit(0), JSON).count() == 0
 
 
+def test_packing_of_long_white_space():
+    from tokenizers import Tokenizer
+
+    t, encode = Tokenizer.from_file(JSON), packing.encoder(JSON)
+    many = 1_000_000
+    for text in ("\n" * many, "a" + " " * many + "b", "x \n" + "\n" * many + "é  y", " " * many + "<|endoftext|>" + "\t" * 150_000 + "\xa0z", "a" + " " * 99_999 + "b" + " " * 100_001 + "'s", "\u3000 " * 60_000 + "中"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_takes_the_least_sum_of_squares():
     rng = random.Random(4)
     p = packing.SumOfSquares(16)
