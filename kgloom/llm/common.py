@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +67,47 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
     return short_batches(df).mapInArrow(run, schema)
 
 
+def unused(name: str, columns) -> str:
+    """The name, or with as many underscores before it as it takes until no column has it (cases are not told apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def ddl(df: DataFrame, columns) -> str:
+    """The columns of df with their types, as a schema's text."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+#: Counts of one row of chunked_counts().
+CHUNK = 1 << 12
+
+
+def chunked_counts(total: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(numbers, bytes) of the chunks of a task's array of counts that are not all zero."""
+    chunks = total.astype(np.int64).reshape(-1, CHUNK)
+    used = np.flatnonzero(chunks.any(axis=1))
+    return used.astype(np.int32), [chunks[i].tobytes() for i in used]
+
+
+def summed_counts(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of all tasks' chunks (chunk int, counts binary), added up by executors; the driver gets one array of `size`."""
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, c in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+                part = np.frombuffer(c, np.int64)
+                total[i] = total[i] + part if i in total else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["chunk", "counts"])
+
+    out = np.zeros((-(-size // CHUNK), CHUNK), np.int64)
+    for r in parts.repartition(32, "chunk").mapInArrow(add, "chunk int, counts binary").collect():
+        out[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
+    return out.reshape(-1)[:size]
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased and nothing else (bytes.lower and split know only ASCII)."""
     return (text or "").encode("utf-8", "replace").lower().split()

@@ -14,8 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import BoundedCache, held_out, map_rows, short_batches
-from kgloom.llm.sampling import class_shares
+from kgloom.llm.common import BoundedCache, ddl, held_out, map_rows, short_batches, unused
+from kgloom.llm.sampling import class_counts, in_sample
 from kgloom.session import table
 
 WORDS = 1 << 15
@@ -89,7 +89,7 @@ def fit(rows: list[tuple[int, int, np.ndarray, np.ndarray]], counts: dict[int, i
 
     None without rows; with a single label, that label's share decides every score.
     """
-    rows = sorted(rows, key=lambda r: (r[0], r[1]))
+    rows = sorted(rows, key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes(), r[3].tobytes()))
     if not rows:
         return None
     ones = sum(r[1] for r in rows)
@@ -115,51 +115,72 @@ def score(model: dict | None, at: np.ndarray, x: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
 
 
-def _with_length(docs: DataFrame) -> DataFrame:
-    """Length metadata as a long; null where the table has none."""
-    return docs.withColumn("_n", F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long"))
+_seen = BoundedCache(bucket)
+
+
+def seen() -> BoundedCache:
+    """Buckets of the words that this Python worker has met, for all its tasks and batches."""
+    return _seen
+
+
+def _length(docs: DataFrame):
+    """Length metadata as a long; null where the table has none, or what is no number."""
+    return F.col("n_chars").try_cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict | None:
-    """Fits on about per_class rows of each label; labels (doc_id, quality) are thinned before the join.
+    """Fits on about per_class texts of each label; labels (doc_id, quality) are thinned before the join.
 
-    The thinned labels are bounded by per_class, so they are broadcast to the one scan of docs.
+    The thinned labels are bounded by per_class, so they are broadcast to the one scan of docs. Null ids, null labels and
+    labels other than 0 and 1 teach nothing. Labels that repeat count once in the sample; a document with both labels
+    teaches both. None where no text is labelled; empty and null texts are learned from like others.
     """
-    known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    few, counts = class_shares(known, "quality", per_class)
-    rows = _with_length(docs).join(F.broadcast(few), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text", "_n")
+    known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    counts = class_counts(known, "quality", ["doc_id"])
+    few, chosen = in_sample(known, "quality", counts, per_class, ["doc_id"])
+    few = few.where(chosen).select("doc_id", "quality").distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _length(docs).alias("n")).join(F.broadcast(few), "doc_id").select("doc_id", "quality", "text", "n")
 
     def make():
-        buckets = BoundedCache(bucket)
-
         def work(x: dict) -> dict:
-            both = [features(t, n, buckets) for t, n in zip(x["text"], x["_n"])]
+            both = [features(t, n, seen()) for t, n in zip(x["text"], x["n"])]
             return {"doc_id": x["doc_id"], "quality": x["quality"], "at": [a for a, _ in both], "x": [v for _, v in both]}
 
         return work
 
-    found = map_rows(rows, make, "doc_id long, quality int, at array<int>, x array<double>").collect()
-    return fit([(r["doc_id"], r["quality"], np.array(r["at"], np.int64), np.array(r["x"])) for r in found], counts)
+    found = map_rows(rows, make, "doc_id long, quality int, at array<int>, x array<double>").distinct().toArrow()
+    at, x = found.column("at").combine_chunks(), found.column("x").combine_chunks()
+    rows_ = [(i, q, at[k].values.to_numpy(), x[k].values.to_numpy()) for k, (i, q) in enumerate(zip(found.column("doc_id").to_pylist(), found.column("quality").to_pylist()))]
+    return fit(rows_, {r["quality"]: r["n"] for r in counts.collect()})
+
 
+def score_rows(docs: DataFrame, model: dict | None, keep: list[str], out: str = "score") -> DataFrame:
+    """The kept columns with `out`, the score of each whole text. The model (about 1.2 MB) goes by broadcast.
 
-def score_rows(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
-    """The kept columns with the score of each whole text. The model (about 1.2 MB) goes by broadcast."""
+    Null and empty texts have a score like others; repeated rows are scored each; an empty table gives no rows. Ties do not
+    matter. A kept column that is called like `out` stays, and the score takes the name unused() gives.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    out = unused(out, keep)
+    text, n = unused("text", keep), unused("n", keep)
 
     def make():
-        m, buckets = sent.value, BoundedCache(bucket)
+        m = sent.value
 
         def work(x: dict) -> dict:
-            return {c: x[c] for c in keep} | {"score": [score(m, *features(t, n, buckets)) for t, n in zip(x["_text"], x["_n"])]}
+            return {c: x[c] for c in keep} | {out: [score(m, *features(t, k, seen())) for t, k in zip(x[text], x[n])]}
 
         return work
 
-    return map_rows(_with_length(docs).select(*keep, F.col("text").alias("_text"), "_n"), make, f"{schema}, score double")
+    return map_rows(docs.select(*keep, F.col("text").alias(text), _length(docs).alias(n)), make, f"{ddl(docs, keep)}, `{out}` double")
+
 
+def scored(docs: DataFrame, model: dict | None, out: str = "quality_score") -> DataFrame:
+    """docs with the score of each row as its last column; only text and length go through Python, other columns stay where they are.
 
-def scored(docs: DataFrame, model: dict | None) -> DataFrame:
-    """docs with quality_score; only text and length go through Python, other columns stay where they are."""
+    The column is `out`, or, where docs has one of this name, the name that unused() gives; no column of docs is changed.
+    Null and empty texts, repeated rows and empty tables are as in score_rows().
+    """
     from pyspark.sql.pandas.functions import pandas_udf
 
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -168,13 +189,16 @@ def scored(docs: DataFrame, model: dict | None) -> DataFrame:
     def of(text, n):
         import pandas as pd
 
-        buckets = BoundedCache(bucket)
-        return pd.Series([score(sent.value, *features(t, None if pd.isna(k) else int(k), buckets)) for t, k in zip(text, n)])
+        return pd.Series([score(sent.value, *features(t, None if pd.isna(k) else int(k), seen())) for t, k in zip(text, n)], dtype="float64")
 
-    return _with_length(short_batches(docs)).withColumn("quality_score", of(F.col("text"), F.col("_n"))).select(*docs.columns, "quality_score")
+    return short_batches(docs).select("*", of(F.col("text"), _length(docs)).alias(unused(out, docs.columns)))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of documents, learned from rows that are not held out.
+
+    Other columns than doc_id, text and n_chars are not read. Odd cases are those of train() and score_rows().
+    """
     docs = table(spark, sf_dir, "documents")
     n = ["n_chars"] if "n_chars" in docs.columns else []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *n).withColumn("held_out", held_out(4))

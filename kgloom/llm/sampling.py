@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Classes at most, the most frequent ones, as their counts are brought to the driver.
-CLASSES = 2000
+from kgloom.llm.common import unused
+from kgloom.session import small
 
 
-def class_shares(rows: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict]:
-    """rows thinned by a hash of doc_id to about per_class of each class, and every class's whole count.
+def draw(drawn: list[str]) -> Column:
+    """A number from 0 to 1 by a hash of the drawn columns."""
+    return F.pmod(F.xxhash64(*drawn), F.lit(1 << 30)) / float(1 << 30)
 
-    Counting covers all rows; the thinning is one comparison a row. The sample is bounded by per_class times the
-    number of classes (with the spread of a hash draw).
+
+def class_counts(rows: DataFrame, label: str, drawn: list[str]) -> DataFrame:
+    """(label, n, least): all rows of each class, and the least number that one of them draws."""
+    return rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min(draw(drawn)).alias("least"))
+
+
+def in_sample(rows: DataFrame, label: str, counts: DataFrame, per_class: int, drawn: list[str]) -> tuple[DataFrame, Column]:
+    """(rows, whether a row is in the sample of about per_class rows of its class).
+
+    A row is in it if it draws less than its class's share, or the least of its class, so that every class is there. The
+    draw needs no order and is repeatable. Counting covers all rows; only the sample is bounded, by per_class times the number
+    of classes (with the spread of a hash draw). Rows that are alike in the drawn columns are in it together.
     """
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(CLASSES).collect()}
-    if not counts:
-        return rows.limit(0), counts
-    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, per_class / n)))])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(draw < share[F.col(label)]), counts
+    n, least = unused("n", rows.columns), unused("least", rows.columns)
+    joined = rows.join(small(counts.select(label, F.col("n").alias(n), F.col("least").alias(least))), label)
+    return joined, (draw(drawn) < F.lit(float(per_class)) / F.col(n)) | (draw(drawn) == F.col(least))

@@ -16,7 +16,7 @@ from re import _parser as parser
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import map_rows, short_batches
+from kgloom.llm.common import map_rows, short_batches, unused
 from kgloom.session import table
 
 #: (kind, regex, group, least characters of that group). The first three are the base; the order is the order of ties.
@@ -157,11 +157,26 @@ def spans_text(spans: list[tuple[int, int, int]], rules=RULES) -> str:
     return ",".join(f"{rules[r][0]}:{a}:{b}" for a, r, b in spans)
 
 
+_held: list[Scanner] = []
+
+
+def held() -> Scanner:
+    """The scanner of RULES, one per Python worker."""
+    if not _held:
+        _held.append(Scanner())
+    return _held[0]
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """Counts, base digest and all spans of every whole text; null and empty texts have none. No shuffle."""
+    """Counts, base digest and all spans of every whole text; no shuffle.
+
+    Null and empty texts have no span and the digest of nothing. Spans are in the order of their start and, where several
+    kinds start at one place, of RULES. Repeated rows are scanned each, an empty table gives no rows, a null doc_id stays
+    null. Columns but doc_id and text are not read, so none can clash.
+    """
 
     def make():
-        scanner = Scanner()
+        scanner = held()
 
         def work(x: dict) -> dict:
             found = scanner.block([t or "" for t in x["text"]])
@@ -190,26 +205,31 @@ def redact(text: str, spans: list[tuple[int, int, int]], rules=RULES) -> str:
 
 
 def redact_column(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
-    """docs with secrets in the text column replaced, and n_chars set anew where a text changed. Null stays null."""
+    """docs with secrets in the text column replaced, and n_chars set anew where a text changed. No row goes.
+
+    Null stays null and empty stays empty; overlapping spans become one mark, of the kind that starts first. Repeated rows are
+    cleaned each; all other columns stay as they are, whatever their names.
+    """
     from pyspark.sql.pandas.functions import pandas_udf
 
     @pandas_udf("string")
     def clean(s):
         import pandas as pd
 
-        scanner, out = Scanner(), []
+        scanner, out = held(), []
         texts = [None if t is None else str(t) for t in s]
         for at in range(0, len(texts), 256):
             part = texts[at : at + 256]
             out += [t if t is None or not x else redact(t, x) for t, x in zip(part, scanner.block([t or "" for t in part]))]
         return pd.Series(out, dtype=object)
 
-    same = docs.columns
-    out = short_batches(docs).withColumn("_clean", clean(F.col(text)))
+    same, new = docs.columns, unused("clean", docs.columns)
+    out = short_batches(docs).withColumn(new, clean(F.col(text)))
     if n_chars in same:
-        out = out.withColumn(n_chars, F.when(F.col("_clean") == F.col(text), F.col(n_chars)).otherwise(F.length("_clean").cast(docs.schema[n_chars].dataType)))
-    return out.withColumn(text, F.col("_clean")).select(*same)
+        out = out.withColumn(n_chars, F.when(F.col(new).eqNullSafe(F.col(text)), F.col(n_chars)).otherwise(F.length(new).cast(docs.schema[n_chars].dataType)))
+    return out.withColumn(text, F.col(new)).select(*same)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row of documents; odd cases are those of scan()."""
     return scan(table(spark, sf_dir, "documents"))
