@@ -2,8 +2,9 @@
 
 Every input partition packs its own windows: no shuffle, no row moves, and a lost task repeats the same packing.
 A document is cut into full windows and one rest. The rest goes to the fill level whose choice gives the least
-sum of squared counts of partially filled windows; the counts are one array by level. When a partition ends, its
-partially filled windows are poured together in order, so that at most one window a partition is not full.
+sum of squared counts of partially filled windows; the counts are one array by level. When a partition ends, the
+fullest windows are topped up with pieces cut off the emptiest ones, so that most placed pieces stay where they were
+placed; what is left of a last window is cut at powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ class SumOfSquares:
         self.size, self.next = size, first
         self.levels = np.zeros(size + 1, np.int64)
         self.open: dict[int, deque] = defaultdict(deque)
+        #: Ids of rests that were placed in all, and of those that were moved at the end.
+        self.placed = self.moved = 0
 
     def row(self, window: int, pieces: list) -> list[tuple]:
         out, offset = [], 0
@@ -60,6 +63,7 @@ class SumOfSquares:
 
     def place(self, piece: list) -> list[tuple]:
         k, size, count = len(piece[2]) // 4, self.size, self.levels
+        self.placed += k
         # change of the sum of squares: one window less at level h, one more at level h + k; level 0 and full ones don't count
         after = 2 * count[k : size + 1] + 1
         after[size - k] = 0
@@ -82,20 +86,41 @@ class SumOfSquares:
         return []
 
     def finish(self) -> list[tuple]:
-        """Pours what is partially filled, fullest first, into full windows; the last may stay short."""
-        out, now, room = [], [], self.size
-        for level in sorted(self.open, reverse=True):
-            for pieces in self.open[level]:
-                for doc, start, ids, n in pieces:
-                    while ids:
-                        part, ids = ids[: 4 * room], ids[4 * room :]
-                        now.append([doc, start, part, n])
-                        start += len(part) // 4
-                        room -= len(part) // 4
-                        if not room:
-                            out += self.close(now)
-                            now, room = [], self.size
-        return out + (self.close(now) if now else [])
+        """Closes what is open: the fullest window is filled from the emptiest, again and again.
+
+        Of the last window, pieces are cut so that its length and what is cut off are powers of two.
+        """
+        out: list[tuple] = []
+        held = deque(pieces for level in sorted(self.open, reverse=True) for pieces in self.open[level])
+        self.open.clear()
+        self.levels[:] = 0
+        while held:
+            pieces = held.popleft()
+            level = sum(len(ids) // 4 for _, _, ids, _ in pieces)
+            while level < self.size and held:
+                taken = self.cut(held[-1], self.size - level)
+                self.moved += len(taken[2]) // 4
+                level += len(taken[2]) // 4
+                pieces.append(taken)
+                if not held[-1]:
+                    held.pop()
+            while level & level - 1:
+                part, k = [], 1 << level.bit_length() - 1
+                level -= k
+                while k:
+                    part.append(self.cut(pieces, k))
+                    k -= len(part[-1][2]) // 4
+                out += self.close(part)
+            out += self.close(pieces)
+        return out
+
+    @staticmethod
+    def cut(pieces: list, k: int) -> list:
+        """Takes the last piece off a window, or its first k ids where it has more."""
+        doc, start, ids, n = pieces.pop()
+        if len(ids) > 4 * k:
+            pieces.append([doc, start + k, ids[4 * k :], n])
+        return [doc, start, ids[: 4 * k], n]
 
 
 def encoder(path: str):
@@ -143,7 +168,9 @@ _encoders: dict = {}
 def pack(docs: DataFrame, path: str, size: int = 1024, end: int = 0) -> DataFrame:
     """One row per piece of every document (PIECE); null and empty texts are the end id alone.
 
-    Long documents are cut at full windows. Repeated rows are packed as often as they occur; a null doc_id stays null.
+    Long documents are cut at full windows, of any length and of white space too. Repeated rows are packed as often as they
+    occur; a null doc_id stays null; an empty table gives no rows. Among fill levels that are equally good the fullest is
+    taken. Columns but doc_id and text are not read, so none can clash.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -180,6 +207,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end: int = 0) -> DataFram
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 ids; odd cases are those of pack()."""
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
