@@ -1,8 +1,8 @@
 """Operator 8: Netpbm and BMP columns decoded to numpy arrays, resized by integral images, cut into NPY tiles.
 
 A payload is stored as a binary PPM or BMP, decoded again from its bytes alone, shrunk by exact area averages
-(differences of a summed-area table), hashed by horizontal differences, and may be written as NPY tiles. All of
-it is one map over the rows. Work on an image is done in bands of rows, so that memory besides the image's own
+(differences of a summed-area table), written as NPY tiles and hashed by horizontal differences. All of it is one
+map over the rows. Work on an image is done in bands of rows, so that memory besides the image's own
 bytes does not grow with it.
 """
 
@@ -13,6 +13,7 @@ import io
 import re
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -104,6 +105,16 @@ def _bmp(media: bytes) -> np.ndarray:
     return rows if h < 0 else rows[::-1]
 
 
+def grey_of(band: np.ndarray) -> np.ndarray:
+    """Means over the channels, as float64; sums of a long last axis' slices are faster than numpy's over a short one."""
+    if band.ndim == 2:
+        return band.astype(np.float64)
+    total = band[:, :, 0].astype(np.float64)
+    for c in range(1, band.shape[2]):
+        total += band[:, :, c]
+    return total / band.shape[2]
+
+
 def area_resize(pixels: np.ndarray, high: int, wide: int) -> np.ndarray:
     """Grey area averages (float64) on a high x wide grid, exact for fractional cells.
 
@@ -114,18 +125,19 @@ def area_resize(pixels: np.ndarray, high: int, wide: int) -> np.ndarray:
     x = np.arange(wide + 1) * (w / wide)
     y = np.arange(high + 1) * (h / high)
     xi, yi = np.minimum(x.astype(int), w - 1), np.minimum(y.astype(int), h - 1)
+    whole = w % wide == 0
     at = np.zeros((high + 1, wide + 1))
     total = np.zeros(wide + 1)
     for top in range(0, h, BAND):
         band = pixels[top : top + BAND]
-        grey = band.sum(axis=2, dtype=np.float64) / band.shape[2] if band.ndim == 3 else band.astype(np.float64)
+        grey = grey_of(band)
         across = np.zeros((len(grey), w + 1))
         np.cumsum(grey, axis=1, out=across[:, 1:])
-        across = across[:, xi] + (x - xi) * (across[:, xi + 1] - across[:, xi])
+        across = across[:, x.astype(int)] if whole else across[:, xi] + (x - xi) * (across[:, xi + 1] - across[:, xi])
         down = np.vstack([total, total + np.cumsum(across, axis=0)])
-        for k in np.flatnonzero((yi >= top) & (yi < top + len(grey))):
-            i = yi[k] - top
-            at[k] = down[i] + (y[k] - yi[k]) * (down[i + 1] - down[i])
+        k = np.flatnonzero((yi >= top) & (yi < top + len(grey)))
+        i = yi[k] - top
+        at[k] = down[i] + (y[k] - yi[k])[:, None] * (down[i + 1] - down[i])
         total = down[-1]
     return np.diff(np.diff(at, axis=0), axis=1) / ((h / high) * (w / wide))
 
@@ -136,26 +148,51 @@ def difference_hash(pixels: np.ndarray, size: int = 8) -> str:
     return np.packbits(cells[:, 1:] > cells[:, :-1]).tobytes().hex()
 
 
+@lru_cache(256)
+def _npy_head(dtype: str, shape: tuple[int, ...]) -> bytes:
+    np.save(buffer := io.BytesIO(), np.empty(shape, dtype))
+    head = buffer.getvalue()
+    return head[: 10 + int.from_bytes(head[8:10], "little")]
+
+
+@lru_cache(256)
+def _npy_fields(head: bytes) -> tuple[tuple[int, ...], bool, np.dtype]:
+    return np.lib.format.read_array_header_1_0(io.BytesIO(head[8:]))
+
+
+def to_npy(array: np.ndarray) -> bytes:
+    """An NPY file (version 1.0, C order)."""
+    return _npy_head(array.dtype.str, array.shape) + array.tobytes()
+
+
+def from_npy(data: bytes) -> np.ndarray:
+    """The array of an NPY file of version 1.0; heads that were met before are not read again."""
+    n = 10 + int.from_bytes(data[8:10], "little")
+    shape, by_column, kind = _npy_fields(data[:n])
+    return np.frombuffer(data, kind, offset=n).reshape(shape, order="F" if by_column else "C")
+
+
 def npy_tiles(pixels: np.ndarray, side: int = WIDTH) -> list[bytes]:
     """NPY files of side x side tiles, row by row; tiles at the right and lower edges are smaller."""
-    out = []
-    for top in range(0, pixels.shape[0], side):
-        for left in range(0, pixels.shape[1], side):
-            np.save(buffer := io.BytesIO(), np.ascontiguousarray(pixels[top : top + side, left : left + side]))
-            out.append(buffer.getvalue())
-    return out
+    h, w = pixels.shape[:2]
+    return [to_npy(pixels[top : top + side, left : left + side]) for top in range(0, h, side) for left in range(0, w, side)]
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
     """Unpadded length and the bytes with spaces up to a positive multiple of a pixel row."""
-    raw = (text or "").encode()
+    raw = (text or "").encode("utf-8", "replace")
     return len(raw), raw + b" " * (-len(raw) % ROW if raw else ROW)
 
 
+def shrunk(pixels: np.ndarray, high: int = WIDTH, wide: int = WIDTH) -> np.ndarray:
+    """Grey area averages of an image, rounded to the image's own kind of integer."""
+    return np.clip(np.round(area_resize(pixels, high, wide)), 0, 65535).astype(np.uint16 if pixels.dtype == np.uint16 else np.uint8)
+
+
 def tile_table(df: DataFrame, media: str, key: str, high: int = WIDTH, wide: int = WIDTH) -> DataFrame:
     """(key, tile long, npy binary, dhash): images of binary column media, resized to high x wide grey and tiled.
 
-    Rows with null or unreadable media have no tile.
+    Rows with null, empty or unreadable media have no tile; repeated rows are tiled each; an empty table gives no rows.
     """
 
     def make():
@@ -168,8 +205,7 @@ def tile_table(df: DataFrame, media: str, key: str, high: int = WIDTH, wide: int
                     pixels = None
                 if pixels is None or not pixels.size:
                     continue
-                small = np.clip(np.round(area_resize(pixels, high, wide)), 0, 65535).astype(np.uint16 if pixels.dtype == np.uint16 else np.uint8)
-                for i, t in enumerate(npy_tiles(small)):
+                for i, t in enumerate(npy_tiles(shrunk(pixels, high, wide))):
                     for c, v in zip(out, (k, i, t, difference_hash(pixels))):
                         out[c].append(v)
             return out
@@ -179,28 +215,44 @@ def tile_table(df: DataFrame, media: str, key: str, high: int = WIDTH, wide: int
     return map_rows(df.select(key, media), make, f"{key} {df.schema[key].dataType.simpleString()}, tile long, npy binary, dhash string")
 
 
+def stored(payload: bytes) -> bytes:
+    """The payload as an image 64 pixels wide: BMP where its CRC-32 is odd, else P6. Both hold every byte."""
+    pixels = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 3)
+    return to_bmp(pixels) if zlib.crc32(payload) & 1 else to_ppm(pixels)
+
+
+#: Columns of text_media().
+MEDIA = {"doc_id": "long", "n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "media_kind": "string", "tiles": "long", "tiles_sha256": "string"}
+
+
 def text_media(docs: DataFrame) -> DataFrame:
-    """Digest columns of every whole text stored as a 64-pixel-wide P6 image and read back from its bytes.
+    """Columns MEDIA of every whole text stored as an image and read back from its bytes.
 
-    Null and empty texts are one row of spaces; equal texts give equal values; a null doc_id stays null.
+    The image is shrunk to 64 x 64 and written as NPY tiles, of which this is one; `tiles` counts them and tiles_sha256 is the
+    digest of their bytes in order. feature is the difference hash of what is read back from the tile. Null and empty texts are one row of
+    spaces; equal texts give equal values; repeated rows have a row each; a null doc_id stays null; an empty table gives no
+    rows. Columns but doc_id and text are not read, so none can clash.
     """
 
     def make():
         def work(x: dict) -> dict:
-            out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+            out: dict[str, list] = {c: [] for c in MEDIA}
             for i, t in zip(x["doc_id"], x["text"]):
                 n, payload = payload_of(t)
-                media = to_ppm(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 3))
+                media = stored(payload)
                 pixels = decode(media)
                 back = pixels.tobytes()
-                for c, v in zip(out, (i, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(pixels))):
+                tiles = npy_tiles(shrunk(pixels))
+                row = (i, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(from_npy(tiles[0])), "bmp" if media[:2] == b"BM" else "ppm", len(tiles), hashlib.sha256(b"".join(tiles)).hexdigest())
+                for c, v in zip(MEDIA, row):
                     out[c].append(v)
             return out
 
         return work
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, ", ".join(f"{c} {t}" for c, t in MEDIA.items()))
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MEDIA of every row of documents; odd cases are those of text_media()."""
     return text_media(table(spark, sf_dir, "documents"))
