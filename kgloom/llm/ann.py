@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 
 from kgloom.session import staged, table
 
-#: Vectors fitted on, about; queries on which probing is measured; share of true neighbours that probing must cover.
-FIT, TRIED, COVER = 20_000, 256, 0.975
+#: Vectors fitted on, about: PER_LIST for each list, but FIT at least and FIT_MOST at most, which bounds the driver's memory.
+FIT, FIT_MOST, PER_LIST = 20_000, 1 << 18, 32
+#: Queries on which probing is measured; share of true neighbours that probing must cover.
+TRIED, COVER = 256, 0.975
+#: Lists that k-means finds in one level; more are found in two.
+ONE_LEVEL = 256
+#: Numbers of one matrix of distances.
+PIECE = 1 << 22
 #: Centroids of a codebook, and components that one of them stands for.
 CODES, SPAN = 256, 4
 #: Rows, and queries, of one cell, about.
@@ -39,17 +45,32 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 6) -> np.ndarray:
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Nearest centroid of each row, in pieces of bounded size."""
-    half = 0.5 * (c * c).sum(axis=1)
-    return np.concatenate([(x[at : at + 8192] @ c.T - half).argmax(axis=1) for at in range(0, len(x), 8192)]) if len(x) else np.zeros(0, np.int64)
+    half, step = 0.5 * (c * c).sum(axis=1), max(1, PIECE // len(c))
+    return np.concatenate([(x[at : at + step] @ c.T - half).argmax(axis=1) for at in range(0, len(x), step)]) if len(x) else np.zeros(0, np.int64)
+
+
+def coarse(x: np.ndarray, k: int) -> np.ndarray:
+    """About k centroids; where these are many, k-means of the parts that a first k-means finds, by their share of the rows."""
+    if k <= ONE_LEVEL:
+        return kmeans(x, k)
+    top = kmeans(x, round(k**0.5))
+    own = nearest(x, top)
+    parts = [x[own == i] for i in range(len(top))]
+    return np.concatenate([kmeans(p, max(1, round(k * len(p) / len(x)))) for p in parts if len(p)])
+
+
+def lists_for(rows: int) -> int:
+    """Inverted lists: a power of two near a quarter of the root of the rows, as far as the largest sample can tell them apart."""
+    return int(np.clip(2 ** round(np.log2(max(rows, 1) ** 0.5 / 4)), 1, FIT_MOST // PER_LIST))
 
 
 class Index:
     """Coarse centroids, codebooks and the number of lists to probe."""
 
     def __init__(self, sample: np.ndarray, rows: int, k: int):
-        lists = 1 if rows < 1000 else int(np.clip(2 ** round(np.log2(np.sqrt(rows) / 4)), 16, 1024))
+        lists = max(1, min(lists_for(rows), len(sample) // 8))
         self.dim, self.k = sample.shape[1], k
-        self.centroids = kmeans(sample, lists)
+        self.centroids = coarse(sample, lists)
         own = nearest(sample, self.centroids)
         rest = sample - self.centroids[own]
         self.cuts = np.append(np.arange(0, self.dim, SPAN), self.dim)
@@ -79,10 +100,13 @@ class Index:
 
     def probed(self, q: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
         """Lists of each query, best first: the measured number, and more while they hold too few rows."""
-        order = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")
-        held = np.cumsum(sizes[order], axis=1)
-        need = np.maximum(self.probes, (held < 4 * (self.k + 1)).sum(axis=1) + 1)
-        return [o[:n][sizes[o[:n]] > 0] for o, n in zip(order, need)]
+        out, step = [], max(1, PIECE // len(self.centroids))
+        for at in range(0, len(q), step):
+            order = np.argsort(-(q[at : at + step] @ self.centroids.T), axis=1, kind="stable")
+            held = np.cumsum(sizes[order], axis=1)
+            need = np.maximum(self.probes, (held < 4 * (self.k + 1)).sum(axis=1) + 1)
+            out += [o[:n][sizes[o[:n]] > 0] for o, n in zip(order, need)]
+        return out
 
     def tables(self, q: np.ndarray, own: int) -> list[np.ndarray]:
         """Per subspace the inner products of queries with codebook entries; the first also holds the centroid's."""
@@ -119,18 +143,25 @@ def _vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
 def search(spark: SparkSession, df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows by inner product of each row whose key is divisible by `every`.
 
-    Vectors that are null or zero, or hold nulls or non-finite components, take no part; nor do those of another length
-    than most. A query never finds rows of its own key. An empty table gives no rows.
+    Vectors that are null, empty or zero, or hold nulls or non-finite components, take no part. Inner products need one
+    length: where there are several, the most frequent takes part (of equally frequent ones the longest). A query never finds
+    rows of its own key; of several rows of a query's key, the vector least in byte order is searched for. Ties go to the
+    smaller key. An empty table gives no rows. Columns but key and vector are not read, so none can clash.
     """
     rows = _vectors(df, key, vector)
+    stored = np.float32 if df.schema[vector].dataType.simpleString() == "array<float>" else np.float64
     dims = sorted(((r["n"], r["d"]) for r in rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     schema = "query_id long, rank int, vec_id long, score double"
     if not dims:
         return spark.createDataFrame([], schema)
     count, dim = dims[0]
     rows = rows.where(F.size("v") == dim)
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = np.array([r["v"] for r in rows.where(draw < min(1.0, FIT / count)).orderBy("id").collect()] or [r["v"] for r in rows.limit(1).collect()], np.float32)
+    draw = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) / float(1 << 30)
+    wanted = int(np.clip(PER_LIST * lists_for(count), FIT, FIT_MOST))
+    drawn = rows.where(draw < min(1.0, wanted / count)).orderBy("id", "v").select(F.col("v").cast("array<float>").alias("v")).toArrow().column("v")
+    if not len(drawn):
+        drawn = rows.orderBy("id", "v").limit(1).select(F.col("v").cast("array<float>").alias("v")).toArrow().column("v")
+    sample = drawn.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     index = Index(sample, count, k)
     sent = spark.sparkContext.broadcast(index)
 
@@ -141,7 +172,7 @@ def search(spark: SparkSession, df: DataFrame, key: str = "vec_id", vector: str
         for batch in batches:
             flat = batch.column("v").flatten().to_numpy().reshape(-1, dim)
             own, codes, error = ix.encode(flat.astype(np.float32)) if len(flat) else (np.zeros(0, np.int64), np.zeros((0, 1), np.uint8), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own, pa.int32()), pa.array([r.tobytes() for r in flat], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error, pa.float64())], names=["id", "list", "v", "codes", "error"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own, pa.int32()), pa.array([r.tobytes() for r in flat.astype(stored)], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error, pa.float64())], names=["id", "list", "v", "codes", "error"])
 
     indexed = staged(spark, rows.mapInArrow(encode, "id long, list int, v binary, codes binary, error double"), "ann-index")
     sizes = np.zeros(len(index.centroids), np.int64)
@@ -154,15 +185,15 @@ def search(spark: SparkSession, df: DataFrame, key: str = "vec_id", vector: str
 
         ix, size = sent.value, sent_sizes.value
         for batch in batches:
-            q = np.frombuffer(b"".join(batch.column("v").to_pylist()), np.float64).reshape(-1, dim)
+            q = np.frombuffer(b"".join(batch.column("v").to_pylist()), stored).reshape(-1, dim)
             lists = ix.probed(q.astype(np.float32), size) if len(q) else []
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array([x.tolist() for x in lists], pa.list_(pa.int32()))], names=["id", "v", "lists"])
 
-    asked = indexed.where(F.pmod("id", F.lit(every)) == 0).select("id", "v").dropDuplicates(["id"])
+    asked = indexed.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v"))
     asked = staged(spark, asked.mapInArrow(probe, "id long, v binary, lists array<int>"), "ann-queries")
     probes = asked.select("id", "v", F.explode("lists").alias("list"))
     asks = {r["list"]: r["n"] for r in asked.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # one row a list, of at most 1024 lists
+    # one row a list, of at most FIT_MOST / PER_LIST lists
     grid = F.broadcast(spark.createDataFrame([(i, max(1, -(-int(n) // CELL)), max(1, -(-asks.get(i, 0) // CELL))) for i, n in enumerate(sizes)], "list int, row_parts int, query_parts int"))
     part = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -181,7 +212,7 @@ def search(spark: SparkSession, df: DataFrame, key: str = "vec_id", vector: str
                 if hi <= lo:
                     continue
                 seg, here, kind = batch.slice(lo, hi - lo), tuple(names[lo, :3]), names[lo, 3]
-                v = np.frombuffer(b"".join(seg.column("v").to_pylist()), np.float64).reshape(-1, dim)
+                v = np.frombuffer(b"".join(seg.column("v").to_pylist()), stored).reshape(-1, dim).astype(np.float64)
                 ids = seg.column("id").to_numpy()
                 if kind == 0:
                     now = {"x": v, "id": ids, "codes": np.frombuffer(b"".join(seg.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1), "error": seg.column("error").to_numpy()}
@@ -200,4 +231,5 @@ def search(spark: SparkSession, df: DataFrame, key: str = "vec_id", vector: str
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id and score over embeddings; odd cases are those of search()."""
     return search(spark, table(spark, sf_dir, "embeddings"))
