@@ -2,14 +2,16 @@
 
 1. A sketch of shingle frequencies (a count per hash bucket over all documents) fixes one global order, rare first.
    Any order gives the same links; this one keeps common shingles out of the prefixes.
-2. Documents with equal sets are one class, and its smallest doc_id stands for it.
-3. Each class posts the shingles of its prefix. A shingle with few postings gives its pairs at once, by length and
-   position. Postings of other shingles meet in blocks; a hot shingle is cut into a grid of blocks of bounded size. In a block, classes with identical prefix and size collapse into a group, group
-   pairs are filtered by length and position, and what is left is expanded to members, whose intersection is
-   bounded from above by signatures (bucket counts of the set).
-4. Expansion takes two rounds. The first takes only a spanning forest of a block's possible links, best first; these
-   are verified on whole sets, and give components. The second takes every possible link between different
-   components, so none is lost, while copies of one another are never expanded into all pairs.
+2. Documents with equal sets are one class, and its smallest doc_id stands for it. Classes with identical prefix and
+   size are one group, and its smallest class leads it.
+3. A group posts each shingle of its prefix once. In a block of postings of one shingle, pairs of groups are filtered
+   by length, by position and, where both are single classes, by signatures (bucket counts of the set, which bound an
+   intersection from above). Classes of one group meet in blocks of their own.
+4. What is left is verified on whole sets, in two rounds. The first takes all pairs of a block where they are few, and
+   else a spanning forest of them, best first; a hot shingle's postings are dealt twice into blocks of bounded size, so
+   that blocks overlap. This gives components. The second round takes every pair that the first left out and whose ends are
+   still in different components, and expands groups to their members there. So no link is lost, while copies of one
+   another are never expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -19,16 +21,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import BoundedCache, give_back, map_rows, short_batches, words_of
+from kgloom.llm.common import BoundedCache, chunked_counts, give_back, map_rows, short_batches, summed_counts, unused, words_of
 from kgloom.operators.components import connected_components
-from kgloom.session import discard, staged, table
+from kgloom.session import discard, small, staged, table
 
-SKETCH, CHUNK = 1 << 20, 1 << 12
+SKETCH = 1 << 20
 SIGNATURE = 128
-#: Postings of one shingle in a block, about; twice that at the meeting of two parts of a hot one.
-BLOCK = 1024
-#: Postings up to which a shingle's pairs are all looked at at once, without groups, blocks and rounds.
-FEW = 16
+#: Postings of one shingle in a block, about; twice that where two parts of a hot one meet in the second round.
+BLOCK = 512
+#: Pairs a posting up to which a block hands on all its pairs in the first round. What it leaves out is the second round's.
+EASY = 4
 #: Bits of the filter that keeps documents without candidates from being shuffled; its size is fixed.
 FILTER = 1 << 22
 
@@ -70,27 +72,13 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
             for at in range(0, batch.num_rows, 512):
                 sets = [_buckets(shingle_set(words_of(t.as_py()), k, hashes)) for t in batch.column("text")[at : at + 512]]
                 np.add.at(total, np.concatenate(sets), 1)
-        chunks = total.reshape(-1, CHUNK)
-        used = np.flatnonzero(chunks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([chunks[i].tobytes() for i in used], pa.binary())], names=["chunk", "counts"])
+        used, chunks = chunked_counts(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(chunks, pa.binary())], names=["chunk", "counts"])
         del hashes, total, chunks
         give_back()
 
-    def add(batches):
-        import pyarrow as pa
-
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, c in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                part = np.frombuffer(c, np.int32 if len(c) == 4 * CHUNK else np.int64).astype(np.int64)
-                total[i] = total[i] + part if i in total else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["chunk", "counts"])
-
     parts = short_batches(docs.select("text")).mapInArrow(count, "chunk int, counts binary")
-    out = np.zeros((SKETCH // CHUNK, CHUNK), np.int64)
-    for r in parts.repartition(32, "chunk").mapInArrow(add, "chunk int, counts binary").collect():
-        out[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
-    return np.minimum(out.reshape(-1), np.iinfo(np.uint32).max).astype(np.uint32)
+    return np.minimum(summed_counts(parts, SKETCH), np.iinfo(np.uint32).max).astype(np.uint32)
 
 
 def _features(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
@@ -118,165 +106,104 @@ def _features(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), make, "doc_id long, n long, set_id string, grp long, prefix array<long>, sig binary")
 
 
-def _possible(n1, n2, most, num: int, den: int):
+def possible(n1, n2, most, num: int, den: int):
     """Whether sets of these sizes with at most this intersection can reach num/den."""
     return den * most >= num * (n1 + n2 - most)
 
 
-class _Forest:
-    """A spanning forest of links that come in pieces; it holds the links that joined two trees, and few others."""
-
-    def __init__(self, rows: int, sure: float):
-        self.up, self.sure = np.arange(rows), sure
-        self.kept: list[tuple[int, int]] = []
-        self.later: list[np.ndarray] = []
-
-    def roots(self) -> np.ndarray:
-        while (self.up[self.up] != self.up).any():
-            self.up = self.up[self.up]
-        return self.up
-
-    def apart(self, links: np.ndarray) -> np.ndarray:
-        """Links (i, j, likeness) whose ends are in different trees, the likeliest first."""
-        r = self.roots()
-        links = links[r[links["i"]] != r[links["j"]]]
-        return links[np.lexsort((links["j"], links["i"], -links["like"]))]
-
-    def add(self, links: np.ndarray) -> None:
-        """Links of sure likeness join trees now; others wait, as a better one may come."""
-        links = self.apart(links)
-        sure = links["like"] >= self.sure
-        self.join(links[sure])
-        if (~sure).any():
-            self.later.append(links[~sure])
-        if sum(map(len, self.later)) > 200_000:
-            waiting = self.apart(np.concatenate(self.later))
-            self.later = [waiting] if len(waiting) <= 150_000 else []
-            if not self.later:
-                self.join(waiting)
-
-    def join(self, links: np.ndarray) -> None:
-        up = self.up
-        for i, j in zip(links["i"].tolist(), links["j"].tolist()):
-            x, y = i, j
-            while up[x] != x:
-                up[x] = x = up[up[x]]
-            while up[y] != y:
-                up[y] = y = up[up[y]]
-            if x != y:
-                up[y] = x
-                self.kept.append((i, j))
-
-    def finish(self) -> np.ndarray:
-        if self.later:
-            self.join(self.apart(np.concatenate(self.later)))
-            self.later = []
-        return np.array(self.kept, np.int64).reshape(-1, 2)
-
-
-#: A link by row numbers and the greatest similarity it can have.
-_LINK = np.dtype([("i", np.int32), ("j", np.int32), ("like", np.float32)])
-
-
-class _Blocks:
-    """Possible links within sorted runs of postings. Pairs are looked at in pieces; none are kept but what is returned."""
-
-    def __init__(self, num: int, den: int, forest: bool):
-        self.num, self.den, self.forest = num, den, forest
-
-    def links(self, t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """t: token, cell, side, diagonal, node, n, pos, grp, label, sig, sorted by token, cell and grp."""
-        rows = len(t["node"])
-        self.trees = _Forest(rows, self.num / self.den + 0.03) if self.forest else None
-        self.found: list[np.ndarray] = []
-        new_run = np.append(True, (t["token"][1:] != t["token"][:-1]) | (t["cell"][1:] != t["cell"][:-1]))
-        new_grp = new_run | np.append(True, (t["grp"][1:] != t["grp"][:-1]) | (t["n"][1:] != t["n"][:-1]))
-        run = np.cumsum(new_run) - 1
-        start = np.flatnonzero(new_grp)
-        size = np.diff(np.append(start, rows))
-        grp_run = run[start]
-        # members of one group meet where their first prefix shingle is
-        end = np.repeat(start + size, size)
-        at = np.flatnonzero(t["pos"] == 0)
-        for d in range(1, int(size.max(initial=0))):
-            at = at[at + d < end[at]]
-            if not len(at):
-                break
-            self.verify(t, at, at + d)
-        # pairs of groups, by their distance in the run
-        run_end = np.searchsorted(grp_run, grp_run, side="right")
-        at = np.arange(len(start))
-        n, pos = t["n"][start], t["pos"][start]
-        for d in range(1, len(start)):
-            at = at[at + d < run_end[at]]
-            if not len(at):
-                break
-            a, b = at, at + d
-            low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-            most = np.minimum(n[a] - pos[a], n[b] - pos[b])
-            ok = (self.den * low >= self.num * high) & _possible(n[a], n[b], most, self.num, self.den)
-            self.expand(t, start, size, a[ok], b[ok])
-        pairs = self.trees.finish() if self.forest else np.concatenate(self.found).reshape(-1, 2) if self.found else np.zeros((0, 2), np.int64)
-        a, b = t["node"][pairs[:, 0]], t["node"][pairs[:, 1]]
-        return np.minimum(a, b), np.maximum(a, b)
-
-    def expand(self, t, start, size, a, b) -> None:
-        """Group pairs to member pairs, at most about 200,000 at once."""
-        single = (size[a] == 1) & (size[b] == 1)
-        self.verify(t, start[a[single]], start[b[single]])
-        for g, h in zip(a[~single], b[~single]):
-            step = max(1, 200_000 // size[h])
-            for x in range(0, size[g], step):
-                i = np.arange(start[g] + x, start[g] + min(x + step, size[g]))
-                j = np.arange(start[h], start[h] + size[h])
-                self.verify(t, np.repeat(i, len(j)), np.tile(j, len(i)))
-
-    def verify(self, t, i, j) -> None:
-        """Takes pairs of different nodes that the signatures allow."""
-        ok = (t["node"][i] != t["node"][j]) & (t["diagonal"][i] | (t["side"][i] != t["side"][j]))
-        if not self.forest:
-            ok &= t["label"][i] != t["label"][j]
+def forest(rows: int, i: np.ndarray, j: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Numbers of the links (i, j) of a spanning forest of `rows` nodes; each tree takes its likeliest link out, again and again."""
+    root, kept = np.arange(rows), []
+    live = np.argsort(-like, kind="stable")
+    while len(live := live[root[i[live]] != root[j[live]]]):
+        ends = np.concatenate([root[i[live]], root[j[live]]])
+        best = np.full(rows, len(live))
+        np.minimum.at(best, ends, np.tile(np.arange(len(live)), 2))
+        for x in np.unique(best[best < len(live)]).tolist():
+            a, b = i[live[x]], j[live[x]]
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                kept.append(int(live[x]))
+        while (root[root] != root).any():
+            root = root[root]
+    return np.array(kept, np.int64)
+
+
+def block_pairs(t: dict[str, np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, likeness, run) of the possible links within runs of postings, by row numbers.
+
+    t: run, n, pos, node, label, mixed, side, diagonal, whole, sig, sorted by run and n. Rows of one label are not
+    linked unless one of them is mixed, nor are two rows of one side off the diagonal, as they meet on it.
+    """
+    rows = len(t["n"])
+    run, n, pos = t["run"], t["n"], t["pos"]
+    end = np.searchsorted(run, run, side="right")
+    at, found = np.arange(rows), []
+    for d in range(1, rows):
+        at = at[at + d < end[at]]
+        # sizes rise within a run: a row whose partner is too long has none farther on
+        at = at[den * n[at] >= num * n[at + d]]
+        if not len(at):
+            break
+        i, j = at, at + d
+        ok = possible(n[i], n[j], np.minimum(n[i] - pos[i], n[j] - pos[j]), num, den) & (t["node"][i] != t["node"][j])
+        ok &= (t["label"][i] != t["label"][j]) | t["mixed"][i] | t["mixed"][j]
+        ok &= t["diagonal"][i] | (t["side"][i] != t["side"][j])
         i, j = i[ok], j[ok]
-        for at in range(0, len(i), 20_000):
-            p, q = i[at : at + 20_000], j[at : at + 20_000]
+        for x in range(0, len(i), 20_000):
+            p, q = i[x : x + 20_000], j[x : x + 20_000]
             most = np.minimum(t["sig"][p], t["sig"][q]).sum(axis=1, dtype=np.int64)
-            n1, n2 = t["n"][p], t["n"][q]
-            most = np.where(t["whole"][p] & t["whole"][q], most, np.minimum(n1, n2))
-            good = _possible(n1, n2, most, self.num, self.den)
-            if not good.any():
-                continue
-            if self.forest:
-                links = np.empty(int(good.sum()), _LINK)
-                links["i"], links["j"], links["like"] = p[good], q[good], (most / (n1 + n2 - most))[good]
-                self.trees.add(links)
-            else:
-                self.found.append(np.stack([p[good], q[good]], axis=1).astype(np.int32))
+            most = np.where(t["whole"][p] & t["whole"][q], most, np.minimum(n[p], n[q]))
+            good = possible(n[p], n[q], most, num, den)
+            if good.any():
+                p, q, most = p[good], q[good], most[good]
+                found.append((p.astype(np.int32), q.astype(np.int32), (most / (n[p] + n[q] - most)).astype(np.float32)))
+    i, j, like = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))
+    return i, j, like, run[i]
 
 
-def _candidates(postings: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """Distinct possible links (a, b), a < b. postings: token, m (postings of the token), node, n, pos, grp, sig, label."""
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = postings.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumn("cell", F.least("side", "other").cast("long") * F.col("parts") + F.greatest("side", "other")).withColumn("diagonal", F.floor(F.col("cell") / F.col("parts")) == F.col("cell") % F.col("parts"))
-    columns = ["token", "cell", "side", "diagonal", "node", "n", "pos", "grp", "label", "sig"]
+#: Rows of _pairs(): a pair of classes or of groups by their leads (open: of which one has several members), or a token left open.
+PAIR = "a long, b long, open boolean, again long"
+
+
+def _pairs(dealt: DataFrame, num: int, den: int, first: bool) -> DataFrame:
+    """PAIR rows of dealt postings: token, cell, side, diagonal, node, n, pos, multi, label, mixed, sig."""
+    columns = ["token", "cell", "side", "diagonal", "node", "n", "pos", "multi", "label", "mixed", "sig"]
 
     def run(batches):
         import pyarrow as pa
 
-        blocks, rest = _Blocks(num, den, forest), None
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        schema, rest = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("open", pa.bool_()), ("again", pa.int64())]), None
 
         def out(tab: pa.Table):
-            if not tab.num_rows:
+            rows = tab.num_rows
+            if not rows:
                 return
             t = {c: tab.column(c).to_numpy(zero_copy_only=False) for c in columns[:-1]}
             raw = tab.column("sig").to_pylist()
             t["whole"] = np.array([len(x) > 0 for x in raw])
             t["sig"] = np.frombuffer(b"".join(x or bytes(SIGNATURE) for x in raw), np.uint8).reshape(-1, SIGNATURE)
-            a, b = blocks.links(t)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+            t["run"] = np.cumsum(np.append(False, (t["token"][1:] != t["token"][:-1]) | (t["cell"][1:] != t["cell"][:-1])))
+            i, j, like, of = block_pairs(t, num, den)
+            again = np.zeros(0, np.int64)
+            if first and len(i):
+                size, links = np.bincount(t["run"]), np.bincount(of, minlength=t["run"][-1] + 1)
+                hard = links > EASY * size
+                again = np.unique(t["token"][hard[t["run"]]])
+                x = np.flatnonzero(hard[of])
+                keep = np.append(np.flatnonzero(~hard[of]), x[forest(rows, i[x], j[x], like[x])] if len(x) else x)
+                i, j = i[keep], j[keep]
+            a, b, both = t["node"][i], t["node"][j], t["multi"][i] | t["multi"][j]
+            none = lambda k: pa.nulls(k, pa.int64())
+            for x in range(0, len(a), 50_000):
+                p, q = a[x : x + 50_000], b[x : x + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(both[x : x + 50_000]), none(len(p))], schema=schema)
+            if len(again):
+                yield pa.RecordBatch.from_arrays([none(len(again)), none(len(again)), pa.nulls(len(again), pa.bool_()), pa.array(again)], schema=schema)
 
         for batch in batches:
             now = pa.Table.from_batches([batch])
@@ -291,49 +218,28 @@ def _candidates(postings: DataFrame, num: int, den: int, forest: bool) -> DataFr
                 rest = rest.slice(cut)
         if rest is not None:
             yield from out(rest)
-        del rest, blocks
+        del rest
         give_back()
 
-    sorted_ = dealt.select(*columns).repartition("token", "cell").sortWithinPartitions("token", "cell", "grp", "n", "node")
-    return sorted_.mapInArrow(run, "a long, b long").distinct()
+    return dealt.select(*columns).repartition("token", "cell").sortWithinPartitions("token", "cell", "n", "node").mapInArrow(run, PAIR).distinct()
 
 
-def _few(postings: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct possible links (a, b) of shingles with few postings: all pairs that length, position and then signatures allow.
+def _overlapping(postings: DataFrame) -> DataFrame:
+    """Postings (token, m, node, ..) dealt for the first round: a hot token's into blocks, each posting into two of them."""
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    side = lambda *salt: F.pmod(F.xxhash64("node", "token", *salt), parts).cast("long")
+    return postings.withColumns({"cell": F.explode(F.array_distinct(F.array(side(), side(F.lit(1))))), "side": F.lit(0), "diagonal": F.lit(True)})
 
-    Pairs are made distinct before signatures are joined to them, since these are most of the bytes.
-    """
 
-    def pair(batches):
-        import pyarrow as pa
+def _grid(postings: DataFrame) -> DataFrame:
+    """Postings dealt for the second round: any two of a token meet in one cell of a grid of its parts."""
+    dealt = postings.withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumn("cell", F.least("side", "other").cast("long") * F.col("parts") + F.greatest("side", "other")).withColumn("diagonal", F.col("side") == F.col("other"))
 
-        schema, rest = pa.schema([("a", pa.int64()), ("b", pa.int64())]), None
-
-        def out(tab):
-            token, node, n, pos = (tab.column(c).to_numpy() for c in ("token", "node", "n", "pos"))
-            found = []
-            for d in range(1, FEW):
-                i = np.flatnonzero(token[d:] == token[:-d])
-                if not len(i):
-                    break
-                j = i + d
-                low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                most = np.minimum(n[i] - pos[i], n[j] - pos[j])
-                ok = (node[i] != node[j]) & (den * low >= num * high) & _possible(n[i], n[j], most, num, den)
-                found.append(np.stack([np.minimum(node[i], node[j])[ok], np.maximum(node[i], node[j])[ok]], axis=1))
-            both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=schema)
 
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            rest = now if rest is None else pa.concat_tables([rest, now])
-            token = rest.column("token").to_numpy()
-            cut = np.flatnonzero(token != token[-1]) if len(token) else token
-            if len(cut):
-                yield out(rest.slice(0, int(cut[-1]) + 1))
-                rest = rest.slice(int(cut[-1]) + 1)
-        if rest is not None and rest.num_rows:
-            yield out(rest)
+def _allowed(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of classes whose sizes and signatures allow a link."""
 
     def allow(batches):
         import pyarrow as pa
@@ -348,11 +254,10 @@ def _few(postings: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
                 whole = np.array([len(x) > 0 and len(y) > 0 for x, y in zip(*raw)], bool)
                 x, y = (np.frombuffer(b"".join(v or bytes(SIGNATURE) for v in r), np.uint8).reshape(-1, SIGNATURE) for r in raw)
                 most = np.where(whole, np.minimum(x, y).sum(axis=1, dtype=np.int64), np.minimum(n1, n2))
-                keep.append(_possible(n1, n2, most, num, den))
+                keep.append(possible(n1, n2, most, num, den))
             mask = pa.array(np.concatenate(keep) if keep else np.zeros(0, bool))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], schema=schema)
 
-    pairs = postings.where(F.col("m") <= FEW).select("token", "node", "n", "pos").repartition("token").sortWithinPartitions("token").mapInArrow(pair, "a long, b long").distinct()
     side = lambda x, i: reps.select(F.col("node").alias(x), F.col("n").alias(f"n{i}"), F.col("sig").alias(f"s{i}"))
     return pairs.join(side("a", 1), "a").join(side("b", 2), "b").mapInArrow(allow, "a long, b long")
 
@@ -365,7 +270,7 @@ def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, nu
         packed, hashes = sent.value, BoundedCache(word_hash)
 
         def work(x: dict) -> dict:
-            kept = [i for i, b in enumerate(x["bit"]) if x["doc_id"][i] is not None and packed[b >> 3] >> (7 - (b & 7)) & 1]
+            kept = [i for i, b in enumerate(x["bit"]) if x["doc_id"][i] is not None and int(packed[b >> 5]) >> (b & 31) & 1]
             return {"id": [x["doc_id"][i] for i in kept], "s": [shingle_set(words_of(x["text"][i]), k, hashes).astype(np.int64) for i in kept]}
 
         return work
@@ -384,42 +289,69 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int =
 
     Two documents link when den * |A and B| >= num * |A or B| for their sets of k-word shingles. Empty and null texts
     have no shingle and link with nothing. A null doc_id has a null component. Rows that repeat a doc_id, whatever
-    their texts, are one document. Other columns of docs are not read.
+    their texts, are one document. An empty table gives no rows. Other columns of docs are not read, so none can clash.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = spark.sparkContext.broadcast(_sketch(docs, k))
     first = staged(spark, _features(docs, k, num, den, sketch), "jaccard-first")
-    classes = staged(spark, first.where("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node")), "jaccard-classes")
-    named = classes.select(F.col("node").alias("doc_id"), F.col("set_id").alias("of_set"))
-    reps = first.join(named, "doc_id").where("set_id = of_set").dropDuplicates(["set_id"]).select(F.col("doc_id").alias("node"), "n", "grp", "prefix", "sig")
-    reps = staged(spark, reps, "jaccard-reps")
-    posted = reps.select("node", F.posexplode("prefix").alias("pos", "token"))
+    # equal sets have equal features; a hot set is one row a task before the shuffle
+    classes = first.where("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first(F.struct("n", "grp", "prefix", "sig")).alias("f"))
+    reps = staged(spark, classes.select("set_id", "node", "f.*"), "jaccard-reps")
+    multi = staged(spark, reps.groupBy("grp", "n").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1"), "jaccard-groups")
+    led = small(multi)
+    members = reps.join(led, ["grp", "n"]).select("node", "lead", "members")
+
+    # a group posts once a shingle; only single classes have signatures that bound all of a group
+    groups = reps.join(led, ["grp", "n"], "left").where("lead is null or node = lead").select("node", "n", F.col("lead").isNotNull().alias("multi"), "prefix")
+    posted = groups.select("node", "n", "multi", F.posexplode("prefix").alias("pos", "token"))
     shared = staged(spark, posted.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "jaccard-shared")
-    met = posted.join(shared, "token")
-    postings = staged(spark, met.join(reps.select("node", "n", "grp"), "node"), "jaccard-postings")
-    many = postings.where(F.col("m") > FEW).join(reps.select("node", "sig"), "node")
+    postings = posted.join(shared, "token").select("token", "m", "node", "n", "pos", "multi")
+    inside = reps.join(led, ["grp", "n"]).select(F.col("grp").alias("token"), F.col("members").alias("m"), "node", "n", F.lit(0).alias("pos"), F.lit(False).alias("multi"))
+    postings = staged(spark, postings.unionByName(inside).join(reps.select("node", "sig"), "node").withColumn("sig", F.when(F.col("multi"), F.lit(b"")).otherwise(F.col("sig"))), "jaccard-postings")
 
-    first_links = _few(postings, reps, num, den).unionByName(_candidates(many.withColumn("label", F.col("node")), num, den, True)).distinct()
-    tried = staged(spark, first_links, "jaccard-tried")
+    found = staged(spark, _pairs(_overlapping(postings.withColumns({"label": F.col("node"), "mixed": F.lit(False)})), num, den, True), "jaccard-found")
+    tried = staged(spark, found.where("again is null").select("a", "b").distinct(), "jaccard-tried")
     links = _verified(spark, docs, tried, k, num, den)
     labels = staged(spark, connected_components(spark, links), "jaccard-labels")
-    named = many.join(labels.select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    others = staged(spark, _candidates(named, num, den, False).join(tried, ["a", "b"], "left_anti"), "jaccard-others")
-    more = _verified(spark, docs, others, k, num, den)
-    discard(reps, shared, postings, tried, others)
-    if not more.isEmpty():
+
+    # the second round: what a block left out, and the members of groups
+    label = labels.select("node", F.col("component").alias("label"))
+    again = found.where("again is not null").select(F.col("again").alias("token")).unionByName(shared.where(F.col("m") > BLOCK).select("token")).unionByName(multi.where(F.col("members") > BLOCK).select(F.col("grp").alias("token"))).distinct()
+    left = postings.join(small(again), "token", "left_semi").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    spread = members.join(label, "node", "left").groupBy("lead").agg(F.min(F.coalesce("label", "node")).alias("lo"), F.max(F.coalesce("label", "node")).alias("hi")).where("lo != hi").select(F.col("lead").alias("node"), F.lit(True).alias("apart"))
+    left = staged(spark, left.join(spread, "node", "left").withColumn("mixed", F.col("multi") & F.col("apart").isNotNull()).drop("apart"), "jaccard-left")
+    several = left.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("mixed").alias("some")).where("lo != hi or some").select("token")
+    more = _pairs(_grid(left.join(several, "token", "left_semi")), num, den, False)
+    pairs = staged(spark, more.unionByName(found.where("again is null")).where("open or again is null").select("a", "b", "open").distinct(), "jaccard-pairs")
+    who = lambda x: members.select(F.col("lead").alias(x), F.col("node").alias(f"{x}_"))
+    each = pairs.where("open").select("a", "b").distinct().join(who("a"), "a", "left").join(who("b"), "b", "left").select(F.coalesce("a_", "a").alias("x"), F.coalesce("b_", "b").alias("y"))
+    each = each.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    of = lambda x: label.select(F.col("node").alias(x), F.col("label").alias(f"{x}_"))
+    each = each.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_", "a") != F.coalesce("b_", "b")).select("a", "b")
+    others = _allowed(each, reps, num, den).unionByName(pairs.where("not open").select("a", "b")).distinct().join(tried, ["a", "b"], "left_anti")
+    others = staged(spark, others, "jaccard-others")
+    if not others.isEmpty():
+        more = _verified(spark, docs, others, k, num, den)
+        discard(labels)
         labels = staged(spark, connected_components(spark, links.unionByName(more)), "jaccard-labels")
-    component = classes.join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
+        discard(more)
+    component = reps.select("set_id", "node").join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
     component = staged(spark, component, "jaccard-components")
+    discard(reps, multi, shared, postings, found, tried, links, labels, left, pairs, others)
     full = first.where("n > 0 and doc_id is not null").select("doc_id", "n", "set_id").join(component, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(first.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def _filter(spark: SparkSession, ids: DataFrame, column: str):
-    """A broadcast of FILTER bits that are set for the ids' hashes: of fixed size, and never unset for an id."""
-    bits = np.zeros(FILTER, bool)
-    bits[np.array([r[0] for r in ids.select(_bit(column)).distinct().collect()], np.int64)] = True
-    return spark.sparkContext.broadcast(np.packbits(bits))
+    """A broadcast of FILTER bits that are set for the ids' hashes: of fixed size, and never unset for an id.
+
+    Executors unite the bits in words of 32; the driver gets at most FILTER / 32 words, as Arrow columns.
+    """
+    bit = _bit(column)
+    words = ids.select(F.floor(bit / 32).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit % 32).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER // 32, np.uint32)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    return spark.sparkContext.broadcast(out)
 
 
 def _bit(column: str):
@@ -429,29 +361,32 @@ def _bit(column: str):
 def one_of_each(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without the documents whose component has a smaller doc_id; of rows that repeat a doc_id one stays.
 
-    Rows with a null doc_id link with nothing and all stay. Only rows that a filter of fixed size takes for dropped or
-    repeated ones are shuffled to be looked up; all others stay where they are.
+    Rows with a null doc_id link with nothing and all stay; so do null and empty texts. An empty table gives no rows. Only
+    rows that a filter of fixed size takes for dropped or repeated ones are shuffled to be looked up; all others stay where
+    they are. Columns of any name stay as they are.
     """
     from pyspark.sql.pandas.functions import pandas_udf
 
     found = near_duplicates(spark, docs, k, num, den).where("doc_id is not null").groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("copies"))
-    found = found.where("doc_id != component_id or copies > 1").select(F.col("doc_id").alias("_id"), (F.col("doc_id") != F.col("component_id")).alias("_drop"))
+    id_, drop, may = (unused(c, docs.columns) for c in ("id", "drop", "maybe"))
+    found = found.where("doc_id != component_id or copies > 1").select(F.col("doc_id").alias(id_), (F.col("doc_id") != F.col("component_id")).alias(drop))
     found = staged(spark, found, "jaccard-dropped")
-    sent = _filter(spark, found, "_id")
+    sent = _filter(spark, found, id_)
 
     @pandas_udf("boolean")
     def maybe(bit):
         b = bit.to_numpy()
-        return bit.__class__((sent.value[b >> 3] >> (7 - (b & 7)) & 1).astype(bool))
+        return bit.__class__((sent.value[b >> 5] >> (b & 31).astype(np.uint32) & 1).astype(bool))
 
-    marked = docs.withColumn("_maybe", F.when(F.col("doc_id").isNull(), False).otherwise(maybe(F.coalesce(_bit("doc_id"), F.lit(0)))))
-    asked = marked.where("_maybe").drop("_maybe").join(found, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    free = asked.where("_drop is null").select(*docs.columns)
-    again = asked.where("not _drop").select(*docs.columns).dropDuplicates(["doc_id"])
-    return marked.where("not _maybe").select(*docs.columns).unionByName(free).unionByName(again)
+    marked = docs.withColumn(may, F.when(F.col("doc_id").isNull(), False).otherwise(maybe(F.coalesce(_bit("doc_id"), F.lit(0)))))
+    asked = marked.where(F.col(may)).drop(may).join(found, F.col("doc_id").cast("long") == F.col(id_), "left")
+    free = asked.where(F.col(drop).isNull()).select(*docs.columns)
+    again = asked.where(~F.col(drop)).select(*docs.columns).dropDuplicates(["doc_id"])
+    return marked.where(~F.col(may)).select(*docs.columns).unionByName(free).unionByName(again)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of documents, at three words and 0.9; odd cases are those of near_duplicates()."""
     return near_duplicates(spark, table(spark, sf_dir, "documents"), 3, 90, 100)
 
 
