@@ -20,30 +20,41 @@ SURE = 0.3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9, learned from the labelled languages of docs: texts without a sure language go.
 
-    Null texts and texts without letters are rejected; where no language is labelled, nothing is known and all go.
+    Null and empty texts and texts without letters are rejected; where no language is labelled, nothing is known and all
+    go. Rows that are alike stay or go together. Columns of any name stay as they are.
     """
     found = langid.identified(docs, langid.train(docs))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= SURE)).select(*docs.columns)
+    pred, prob = found.columns[-2:]
+    return found.where((F.col(pred) != langid.UNKNOWN) & (F.col(prob) >= SURE)).select(*docs.columns)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1, learned from the labels of docs: texts scored under GOOD go. Without labels there is no score, and all stay."""
+    """Operator 1, learned from the labels of docs: texts scored under GOOD go. Without labels there is no score, and all stay.
+
+    Null and empty texts are scored like others. Rows that are alike stay or go together. Columns of any name stay as they are.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return docs if model is None else quality.scored(docs, model).where(F.col("quality_score") >= quality.GOOD).select(*docs.columns)
+    if model is None:
+        return docs
+    found = quality.scored(docs, model)
+    return found.where(F.col(found.columns[-1]) >= quality.GOOD).select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3 at five words and 0.8: of each group of linked documents the smallest doc_id stays."""
+    """Operator 3 at five words and 0.8: of each group of linked documents the smallest doc_id stays.
+
+    Null and empty texts and rows without an id link with nothing and stay; of rows that repeat a doc_id one stays.
+    """
     return jaccard.one_of_each(spark, docs)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: secrets are replaced by their kind in brackets, and n_chars follows. No row goes."""
+    """Operator 5: secrets are replaced by their kind in brackets, and n_chars follows. No row goes, null texts stay null."""
     return secrets.redact_column(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: pieces of sequences of 1024 tokens."""
+    """Operator 4: pieces of sequences of 1024 tokens. Null and empty texts are their end alone; repeated rows are packed each."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
