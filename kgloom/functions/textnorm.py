@@ -67,6 +67,14 @@ def lemma_pos(pos) -> Column:
     return F.when(p.contains("verb"), "v").when(p.contains("adj"), "a").when(p.contains("adv"), "r").otherwise("n")
 
 
+def lemmatised(df, lemmas, term: str = "term", pos: str = "pos", out: str = "lemma"):
+    """Df with the lemma of the lower-cased term for the letter of its part of speech; the lower-cased term where the table
+    has none. lemmas (word, letter, lemma) stands for a lemmatiser's exceptions; of several lemmas the least counts."""
+    one = lemmas.groupBy(F.lower("word").alias("_word"), F.col("letter").alias("_letter")).agg(F.min("lemma").alias("_lemma"))
+    found = df.join(one, (F.lower(F.col(term)) == F.col("_word")) & (lemma_pos(pos) == F.col("_letter")), "left")
+    return found.select(*df.columns, F.coalesce("_lemma", F.lower(F.col(term))).alias(out))
+
+
 def normalise_data(term, mode: str, lemma=None) -> Column:
     """The term in mode full (normalised), raw (normalised, labels untouched elsewhere) or canonicalise (lemma of the lower-cased term)."""
     if mode not in ("full", "raw", "canonicalise"):
@@ -137,10 +145,10 @@ def base_relation(c) -> Column:
     return F.regexp_replace(_col(c), r"\d+>$", ">")
 
 
-def detect_source(c) -> Column:
-    """The first source whose pattern the URI has, else unknown."""
+def detect_source(c, patterns: list[tuple[str, str]] | None = None) -> Column:
+    """The first source whose pattern the URI has, else unknown. patterns: (name, pattern) in order, SOURCE_PATTERNS if None."""
     out = None
-    for name, pattern in SOURCE_PATTERNS:
+    for name, pattern in SOURCE_PATTERNS if patterns is None else patterns:
         hit = _col(c).rlike(f"(?i){pattern}")
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("unknown")

@@ -134,6 +134,16 @@ def json_keys(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.explode(F.json_object_keys(column)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
+def hubs(t: DataFrame, k: int = 200) -> DataFrame:
+    """(s, degree): the k subjects with most distinct objects, for a report; ties go to the smaller subject."""
+    return t.groupBy("s").agg(F.countDistinct("o").alias("degree")).orderBy(F.desc("degree"), "s").limit(k)
+
+
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(side, columns..): rows that one build has and the other lacks, by their number; no rows where both are the same."""
+    return a.exceptAll(b).withColumn("side", F.lit("first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("second")))
+
+
 def largest_lists(df: DataFrame, key: str, item: str, k: int) -> DataFrame:
     """The k keys with most items."""
     return df.groupBy(key).agg(F.count(item).alias("n")).orderBy(F.desc("n"), key).limit(k)

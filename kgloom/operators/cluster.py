@@ -63,9 +63,37 @@ def expand(lifted: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def constrained_endpoints(candidates: DataFrame, pos: str, wanted: str, key: list[str]) -> DataFrame:
-    """Candidates of a key whose part of speech is the wanted one, or all of them where none has it (or none is wanted)."""
-    from pyspark.sql import Window
+    """Candidates of a key whose part of speech is the wanted one, or all of them where none has it (or none is wanted).
 
+    Keys with a match are aggregated, a row a task and key, and joined back: a hot key is split, not gathered. A null in a
+    key is a key like any other.
+    """
     match = F.coalesce(F.col(pos) == F.col(wanted), F.lit(False))
-    some = F.max(match).over(Window.partitionBy(*key))
-    return candidates.withColumn("_match", match).withColumn("_some", some).where("_match or not _some").drop("_match", "_some")
+    some = candidates.where(match).select(F.struct(*key).alias("_key")).distinct().withColumn("_some", F.lit(True))
+    marked = candidates.withColumn("_key", F.struct(*key)).join(some, "_key", "left")
+    return marked.where(match | F.col("_some").isNull()).select(*candidates.columns)
+
+
+def cross_class_hints(edges: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(term, rel, start_pos, end_pos) of edges between two classes of one term, which one URI cannot hold as a triple.
+
+    edges (start, end, rel), concepts (concept, term, pos).
+    """
+    side = lambda x: concepts.select(F.col("concept").alias(x), F.col("term").alias(f"{x}_term"), F.col("pos").alias(f"{x}_pos"))
+    both = edges.join(side("start"), "start").join(side("end"), "end")
+    return both.where("start_term = end_term and start_pos != end_pos").select(F.col("start_term").alias("term"), "rel", "start_pos", "end_pos").distinct()
+
+
+def lifted_hints(hints: DataFrame, concepts: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(start_cluster, end_cluster, rel) of hints, between different clusters of the term's classes."""
+    of = concepts.join(clusters, "concept").select("term", "pos", "cluster").distinct()
+    side = lambda x: of.select("term", F.col("pos").alias(f"{x}_pos"), F.col("cluster").alias(f"{x}_cluster"))
+    found = hints.join(side("start"), ["term", "start_pos"]).join(side("end"), ["term", "end_pos"])
+    return found.where("start_cluster != end_cluster").select("start_cluster", "end_cluster", "rel").distinct()
+
+
+def predicate_metadata(t: DataFrame, names: list[str]) -> DataFrame:
+    """(p, name, value): what triples (s, p, o) say of the predicates that they use, by the named metadata predicates."""
+    used = t.select(F.col("p").alias("predicate")).distinct()
+    said = t.where(F.col("p").isin(*names)).select(F.col("s").alias("predicate"), F.col("p").alias("name"), F.col("o").alias("value")).distinct()
+    return used.join(said, "predicate").select(F.col("predicate").alias("p"), "name", "value")

@@ -7,7 +7,7 @@ edge ever reaches the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.session import discard, staged
@@ -26,12 +26,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         moved = pairs.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = pairs.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-    return moved.where("u != v").distinct()
+    return moved.where("u != v")
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _kept(spark: SparkSession, edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
+    """The distinct edges as a staged table, and their count and hash sum, observed while they are written."""
+    seen = Observation()
+    out = staged(spark, edges.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), label)
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -41,14 +43,13 @@ def connected_components(spark: SparkSession, edges: DataFrame, a: str = "a", b:
     when max_rounds are not enough; a partial answer is never returned.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a != b")
-    e = staged(spark, e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = _state(e)
+    e, before = _kept(spark, e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
     for _ in range(max_rounds):
         if not before[0]:
             break
-        last, e = e, staged(spark, _star(_star(e, True), False), "stars")
+        last = e
+        e, after = _kept(spark, _star(_star(last, True), False), "stars")
         discard(last)
-        after = _state(e)
         if after == before:
             break
         before = after

@@ -12,9 +12,9 @@ from kgloom.operators import audit, dedup, retrieve, stats
 
 
 def judge_score(c) -> Column:
-    """The number after "Score:", null where an answer has none or it is over 1,000,000,000."""
-    n = F.regexp_extract(F.col(c) if isinstance(c, str) else c, r"Score: (\d+)", 1)
-    return F.when(F.length(n).between(1, 9), n.cast("int"))
+    """The whole number after "Score:", null where an answer has none. Numbers beyond a long are the greatest long."""
+    n = F.regexp_replace(F.regexp_extract(F.col(c) if isinstance(c, str) else c, r"Score: (\d+)", 1), r"^0+(?=\d)", "")
+    return F.when(n != "", F.coalesce(n.try_cast("long"), F.lit((1 << 63) - 1)))
 
 
 def prioritised(t: DataFrame, a: str, b: str) -> DataFrame:

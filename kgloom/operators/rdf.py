@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.functions.textnorm import safe_uri
@@ -32,11 +32,15 @@ def self_loops_dropped(edges: DataFrame, labels: DataFrame, relations: tuple[str
 def reified(edges: DataFrame, signature: tuple[str, ...] = ("negated", "weight")) -> DataFrame:
     """(rel, signature.., predicate): predicates numbered within a relation by the order of their signatures.
 
-    Signatures are distinct before they are numbered, so a relation's window holds those and not its edges.
+    Signatures are distinct before they are numbered, and numbered by ranges, so that a relation with very many weights is
+    not in one task.
     """
-    dims = edges.select("rel", *signature).distinct()
-    w = Window.partitionBy("rel").orderBy(*signature)
-    return dims.withColumn("predicate", F.concat("rel", F.row_number().over(w).cast("string")))
+    from kgloom.operators.stats import cumulated
+
+    dims = cumulated(edges.select("rel", *signature).distinct().withColumn("_one", F.lit(1)), ["rel", *signature], "_one")
+    first = dims.groupBy("rel").agg(F.min("before").alias("_first"))
+    number = (F.col("before") - F.col("_first") + 1).cast("string")
+    return dims.join(first, "rel").select("rel", *signature, F.concat("rel", number).alias("predicate"))
 
 
 def with_predicates(edges: DataFrame, predicates: DataFrame, signature: tuple[str, ...] = ("negated", "weight")) -> DataFrame:
@@ -148,6 +152,35 @@ def parse_ntriples(lines: DataFrame, strict: bool = False) -> DataFrame:
     return rows.select(bare(part(1)).alias("s"), bare(part(2)).alias("p"), F.when(kind == "literal", text).otherwise(bare(o)).alias("o"), kind.alias("kind"), none(F.regexp_extract(o, r"\^\^<([^>]*)>$", 1)).alias("dtype"), none(F.regexp_extract(o, r'"@([A-Za-z0-9\-]+)$', 1)).alias("lang"))
 
 
+#: How lines are cut into triples, and starts of lines that are skipped. "loose": three tokens, closing marks dropped;
+#: "closed": lines that end in a full stop, at the first two blanks; "spaced": any line at the first two blanks; "uris": the
+#: first three names in angle brackets; "iris": lines of three names in angle brackets with single blanks between.
+LINES = {
+    "loose": (r"^\s*(\S+)\s+(\S+)\s+(.+?)\s*[.;,]*\s*$", ("#", "@prefix")),
+    "closed": (r"^\s*([^ ]*) ([^ ]*) (.*?)\s*\.\s*$", ()),
+    "spaced": (r"^([^ ]*) ([^ ]*) (.*?)[ .]*$", ()),
+    "uris": (r"^.*?<([^>]+)>.*?<([^>]+)>.*?<([^>]+)>", ()),
+    "iris": (r"^<(.*?)> <(.*?)> <?([^>]*)", ()),
+}
+
+
+def cut_lines(lines: DataFrame, style: str = "loose") -> DataFrame:
+    """(s, p, o) of lines (value) as one of LINES cuts them; blank lines, skipped starts and lines that do not match give none."""
+    pattern, skipped = LINES[style]
+    rows = lines.where(F.col("value").rlike(pattern))
+    for start in skipped:
+        rows = rows.where(~F.ltrim("value").startswith(start))
+    return rows.select(*[F.regexp_extract("value", pattern, i + 1).alias(c) for i, c in enumerate("spo")])
+
+
+def sorted_lines(lines: DataFrame, unique: bool = False) -> DataFrame:
+    """T4: (n, value): lines numbered from 1 in the order of their bytes, each once if unique. Sorted by ranges; nothing is gathered."""
+    from kgloom.operators.stats import cumulated
+
+    by = lines.groupBy("value").agg((F.lit(1) if unique else F.count(F.lit(1))).cast("long").alias("_n"))
+    return cumulated(by, ["value"], "_n").select((F.col("before") + 1).alias("n"), "value", "_n").select(F.explode(F.sequence(F.col("n"), F.col("n") + F.col("_n") - 1)).alias("n"), "value")
+
+
 def lookup(triples: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
     """Triples that match the given parts."""
     for c, v in (("s", s), ("p", p), ("o", o)):

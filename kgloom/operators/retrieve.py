@@ -12,6 +12,8 @@ from kgloom.session import staged
 
 #: Weights of relations in a context's relevance.
 RELEVANCE = [(("eq", "synonym", "equivalentTo", "sameAs"), 1.5), (("isA", "partOf", "instanceOf"), 1.0), (("relatedTo", "hasContext"), 0.2)]
+#: Nodes that say little, and what a triple with one of them loses.
+HUBS, HUB_LOSS = ("entity", "thing", "concept", "node", "item"), 0.5
 PENALTY = (("derivedFrom", "etymologicallyRelatedTo", "formOf"), -1.0)
 
 
@@ -50,7 +52,23 @@ def bridges(t: DataFrame, keywords: list[str]) -> DataFrame:
     return pairs.select("s", "p", "o", F.get(name, F.least("i", "j")).alias("a"), F.get(name, F.greatest("i", "j")).alias("b")).distinct()
 
 
-def relevance(keywords: list[str], hubs: list[str] = ()) -> Column:
+def contains(c, keyword: str) -> Column:
+    """Whether a node has the keyword anywhere, with underscores or spaces, in any case."""
+    low, k = F.lower(c), keyword.lower()
+    return low.contains(k.replace(" ", "_")) | low.contains(k)
+
+
+def substring_bridges(t: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct triples with one keyword in the subject and the other in the object, in either direction. Count them, or take examples()."""
+    return t.where((contains("s", a) & contains("o", b)) | (contains("s", b) & contains("o", a))).select("s", "p", "o").distinct()
+
+
+def examples(t: DataFrame, k: int) -> DataFrame:
+    """The k least triples, for a report."""
+    return t.orderBy("s", "p", "o").limit(k)
+
+
+def relevance(keywords: list[str], hubs: tuple[str, ...] = HUBS) -> Column:
     """Additive score of a triple (s, p, o)."""
     score = F.lit(0.0)
     for k in keywords:
@@ -67,11 +85,11 @@ def relevance(keywords: list[str], hubs: list[str] = ()) -> Column:
         kind = F.when(F.col("p").isin(*names), weight).otherwise(kind)
     score = score + kind
     if hubs:
-        score = score - F.when(F.lower("s").isin(*hubs) | F.lower("o").isin(*hubs), 0.5).otherwise(0.0)
+        score = score - F.when(F.lower("s").isin(*hubs) | F.lower("o").isin(*hubs), HUB_LOSS).otherwise(0.0)
     return score
 
 
-def context(general: DataFrame, found: DataFrame, keywords: list[str], most_bridges: int, most: int, hubs: list[str] = ()) -> DataFrame:
+def context(general: DataFrame, found: DataFrame, keywords: list[str], most_bridges: int, most: int, hubs: tuple[str, ...] = HUBS) -> DataFrame:
     """(section, s, p, o, score): bridges first by relevance, up to most_bridges; relevant others fill up to most.
 
     Ties go to the smaller triple. The limits are the operator's own budgets.

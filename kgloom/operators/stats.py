@@ -21,7 +21,7 @@ def improvement(base, value):
     return (value - base) / F.greatest(base, F.lit(1e-9)) * 100
 
 
-def _cumulated(by: DataFrame, order: list[str], count: str) -> DataFrame:
+def cumulated(by: DataFrame, order: list[str], count: str) -> DataFrame:
     """by with before, the sum of count over the rows before it in the order; no task holds more than a range of rows.
 
     Rows are dealt by ranges of the order and kept in the shared folder with their range; sums of ranges (a row a range)
@@ -38,7 +38,7 @@ def _cumulated(by: DataFrame, order: list[str], count: str) -> DataFrame:
 def average_ranks(df: DataFrame, keys: list[str], value: str, out: str = "rank") -> DataFrame:
     """Ranks from 1, ties sharing their mean. Equal values are counted, counts are cumulated by ranges, and joined back."""
     by = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t"))
-    by = _cumulated(by, [*keys, value], "_t")
+    by = cumulated(by, [*keys, value], "_t")
     if keys:
         start = by.groupBy(*keys).agg(F.min("before").alias("_start"))
         by = by.join(start, keys)
@@ -140,9 +140,35 @@ def bucketed(df: DataFrame, run: str, phase: str, value: str, buckets: dict[str,
     return per.agg(*[x for n in buckets for x in (F.avg(n).alias(f"{n}_mean"), F.stddev_samp(n).alias(f"{n}_std"))])
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """(keys.., a column for each wanted share): exact quantiles with linear interpolation, over values that are not null.
+
+    Equal values are counted, counts cumulated by ranges, and each quantile is read off the one or two values around its
+    place, so that no task or buffer holds a group's values. Null keys are left out.
+    """
+    by = cumulated(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t")), [*keys, value], "_t")
+    whole = by.groupBy(*keys).agg(F.min("before").alias("_start"), F.sum("_t").alias("_n"))
+    at = by.join(whole, keys).withColumn("_from", F.col("before") - F.col("_start"))
+    out = []
+    for name, share in wanted.items():
+        place = F.lit(float(share)) * (F.col("_n") - 1)
+        low = F.floor(place)
+        holds = lambda k: (F.col("_from") <= k) & (k < F.col("_from") + F.col("_t"))
+        a, b, part = F.max(F.when(holds(low), F.col(value))), F.max(F.when(holds(F.ceil(place)), F.col(value))), F.max(place - low)
+        out.append((a + (b - a) * part).alias(name))
+    return at.groupBy(*keys).agg(*out)
+
+
+def merged_stats(mean: DataFrame, std: DataFrame, key: str) -> DataFrame:
+    """(key, category, value, std) of two wide tables with a row a key and a column a category; categories of both only."""
+    names = [c for c in mean.columns if c != key and c in std.columns]
+    long = lambda df, out: df.unpivot([key], names, "category", out)
+    return long(mean.select(key, *names), "value").join(long(std.select(key, *names), "std"), [key, "category"])
+
+
 def trimmed(df: DataFrame, key: str, value: str, width: float = 1.5) -> DataFrame:
     """N, mean and sample deviation of a group's values within 1.5 interquartile ranges (linear quartiles)."""
-    q = df.groupBy(key).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(key, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    q = quantiles(df, [key], value, {"q1": 0.25, "q3": 0.75})
     i = F.col("q3") - F.col("q1")
     kept = df.join(q, key).where((F.col(value) >= F.col("q1") - width * i) & (F.col(value) <= F.col("q3") + width * i))
     return kept.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))

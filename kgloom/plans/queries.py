@@ -30,10 +30,10 @@ def query(sql: str | None = None):
 
 
 def _cc(edges: str) -> str:
-    """SQL of (node, component) of the edges (a, b)."""
-    return f"""with recursive e as (select distinct a, b from ({edges}) union select distinct b, a from ({edges})),
-reach(node, other) as (select a, a from e union select r.node, e.b from reach r join e on r.other = e.a)
-select node, min(other) as component from reach group by node"""
+    """SQL of (node, component) of the edges (a, b): each node keeps the least label that has reached it."""
+    return f"""with recursive e as (select a, b from ({edges}) where a <> b union select b, a from ({edges}) where a <> b),
+least_(node, low) using key (node) as (select distinct a, a from e union select e.b, min(l.low) from least_ l join e on e.a = l.node join recurring.least_ r on r.node = e.b where l.low < r.low group by e.b)
+select node, low as component from least_"""
 
 
 def _url_edges(urls: str) -> str:
@@ -59,12 +59,19 @@ def cc_parts(spark, d):
 
 # G2-G4, J1, J2, U6, Z50
 
-_COMP = f"""cc as ({_cc(_url_edges(S['part_urls']))}),
+def _comp(urls):
+    return f"""cc as ({_cc(_url_edges(urls))}),
 own as (select substr(node, 3) as concept, component from cc where node like 'c:%'),
 kind as (select o.concept, o.component, case when sense = '' then null else sense end as kind from own o left join concepts_ k using (concept)),
 split as (select k.concept, min(k.concept) over (partition by component, kind) as cluster from kind k),
 clusters_ as (select concept, cluster from split union all select concept, concept from concepts_ where concept not in (select concept from split))"""
-_BASE = f"""with concepts_ as ({S['concepts']}), relations_ as ({S['relations']}), {_COMP}"""
+
+
+def _base(urls):
+    return f"""with concepts_ as ({S['concepts']}), relations_ as ({S['relations']}), {_comp(urls)}"""
+
+
+_BASE = _base(S["part_urls"])
 _LIFT = """lifted as (select distinct a.cluster as start_cluster, b.cluster as end_cluster, rel, weight, source from relations_ r join clusters_ a on r."start" = a.concept join clusters_ b on r."end" = b.concept)"""
 
 
@@ -82,9 +89,9 @@ def cluster_lift(spark, d):
     return cluster.lift(star.relations(spark, d), _clusters(spark, d))
 
 
-@query(f"""{_BASE}, {_LIFT} select distinct a.concept as "start", b.concept as "end", rel, weight, source from lifted l join clusters_ a on l.start_cluster = a.cluster join clusters_ b on l.end_cluster = b.cluster where a.concept <> b.concept""")
+@query(f"""{_base(S['shipment_urls'])}, {_LIFT} select distinct a.concept as "start", b.concept as "end", rel, weight, source from lifted l join clusters_ a on l.start_cluster = a.cluster join clusters_ b on l.end_cluster = b.cluster where a.concept <> b.concept""")
 def cluster_expand(spark, d):
-    c = _clusters(spark, d)
+    c = cluster.cluster(spark, star.concepts(spark, d), star.shipment_urls(spark, d))
     return cluster.expand(cluster.lift(star.relations(spark, d), c), c)
 
 
@@ -209,9 +216,9 @@ def verbalise(spark, d):
 
 # J3-J10
 
-@query(f"""with c as ({S['concepts']}), r as ({S['relations']}), x as (select a.term as start_term, rel, b.term as end_term, weight, r.source, "start", "end" from r join c a on r."start" = a.concept join c b on r."end" = b.concept where (lower(a.term) = 'india' and lower(b.term) = 'asia') or (lower(a.term) = 'asia' and lower(b.term) = 'india')) select distinct * from x""")
+@query(f"""with c as ({S['concepts']}), r as ({S['relations']}), x as (select a.term as start_term, rel, b.term as end_term, weight, r.source, "start", "end" from r join c a on r."start" = a.concept join c b on r."end" = b.concept where (lower(a.term) = 'nation_7' and lower(b.term) = 'asia') or (lower(a.term) = 'asia' and lower(b.term) = 'nation_7')) select distinct * from x""")
 def direct_relations(spark, d):
-    return explain.direct(star.relations(spark, d), star.concepts(spark, d), "INDIA", "asia")
+    return explain.direct(star.relations(spark, d), star.concepts(spark, d), "Nation_7", "asia")
 
 
 @query(f"""{_BASE}, {_LIFT}, rep as (select cluster, min(concept) as concept from clusters_ group by 1), named as (select cluster, term from rep join concepts_ using (concept))
@@ -232,9 +239,9 @@ def relation_origin(spark, d):
     return explain.origin(cluster.lift(r, c), r, c)
 
 
-@query(f"""{_BASE} select k.concept, term, pos, cluster from concepts_ k join clusters_ using (concept) where lower(term) = 'france'""")
+@query(f"""{_BASE} select k.concept, term, pos, cluster from concepts_ k join clusters_ using (concept) where lower(term) = 'red widget'""")
 def word_clusters(spark, d):
-    return explain.of_word(star.concepts(spark, d), _clusters(spark, d), "France")
+    return explain.of_word(star.concepts(spark, d), _clusters(spark, d), "Red Widget")
 
 
 @query(f"""with r as ({S['relations']}), ids as (select 'n:' || n_nationkey as c from nation where n_regionkey < 3 union all select 'r:' || r_regionkey from region) select * from r where exists (select 1 from ids where c = "start") and exists (select 1 from ids where c = "end")""")
@@ -346,7 +353,7 @@ def set_diff(spark, d):
     return analytics.set_diff(*_halves(spark, d))
 
 
-@query("""with a as (select o_orderstatus as k, o_orderpriority as v from orders where o_orderkey % 3 = 0), b as (select o_orderstatus as k, o_orderpriority as v from orders where o_orderkey % 3 = 1),
+@query("""with a as (select o_orderstatus as k, o_orderpriority as v from orders where o_orderkey % 2 = 0), b as (select o_orderstatus as k, o_orderpriority as v from orders where o_orderkey % 2 = 1),
 n as (select k, count(*) as n from a group by k), c as (select k, count(*) as common from (select * from a intersect all select * from b) group by k) select n.k, n, coalesce(common, 0) as common, round(coalesce(common, 0) / n, 9) as recall from n left join c using (k)""")
 def overlap_recall(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("k"), F.col("o_orderpriority").alias("v"), "o_orderkey")
@@ -398,7 +405,7 @@ def eq_clique(spark, d):
     return rdf.clique(table(spark, d, "part"), ["p_brand", "p_type"], "p_partkey")
 
 
-_DT = """t as (select s, p, o from (select 'd' || doc_id as s, 'mentions' as p, regexp_replace(split_part(text, '.', 1), '\\s+', '_', 'g') as o from documents) union all select 'b' || item_id, 'isA', regexp_replace(split_part(text, '.', 1), '\\s+', '_', 'g') from benchmark)"""
+_DT = """t as (select 'd' || doc_id as s, 'mentions' as p, regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', '_', 'g') as o from documents union all select 'b' || item_id, 'isA', regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', '_', 'g') from benchmark)"""
 _KW = ["the", "of", "and"]
 
 
@@ -412,19 +419,19 @@ def subgraph_kw(spark, d):
     return retrieve.subgraph(_doc_triples(spark, d), _KW)
 
 
-@query(f"""with k(i, k) as (values (0, 'asia'), (1, 'india'), (2, 'europe')), t as (select "start" as x, "end" as y, n_name as s, 'PartOf' as p, r_name as o from nation join region on n_regionkey = r_regionkey, (select 1 as "start", 2 as "end")),
+@query(f"""with k(i, k) as (values (0, 'asia'), (1, 'nation_7'), (2, 'europe')), t as (select "start" as x, "end" as y, n_name as s, 'PartOf' as p, r_name as o from nation join region on n_regionkey = r_regionkey, (select 1 as "start", 2 as "end")),
 m as (select s, p, o, a.k as ka, a.i as i, b.k as kb, b.i as j from t join k a on lower(s) = a.k join k b on lower(o) = b.k where a.i <> b.i) select distinct s, p, o, case when i < j then ka else kb end as a, case when i < j then kb else ka end as b from m""")
 def bridge_kw(spark, d):
     t = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("s"), F.lit("PartOf").alias("p"), F.col("r_name").alias("o"))
-    return retrieve.bridges(t, ["asia", "india", "europe"])
+    return retrieve.bridges(t, ["asia", "nation_7", "europe"])
 
 
-@query("""with r as (select n_name as s, 'partOf' as p, r_name as o from nation join region on n_regionkey = r_regionkey), b as (select s, p, o, 'bridge' as section from r where s = 'INDIA'),
-x as (select *, round((case when lower(o) = 'asia' then 3.0 else 0.0 end) + (case when lower(s) = 'india' then 3.0 else 0.0 end) + 1.0, 9) as score from r)
-select case when s = 'INDIA' then 'bridge' else 'general' end as section, s, p, o, score from (select * from x order by case when s = 'INDIA' then 0 else 1 end, score desc, s, p, o limit 6)""")
+@query("""with r as (select n_name as s, 'partOf' as p, r_name as o from nation join region on n_regionkey = r_regionkey), b as (select s, p, o, 'bridge' as section from r where s = 'NATION_7'),
+x as (select *, round((case when lower(o) = 'asia' then 3.0 else 0.0 end) + (case when lower(s) = 'nation_7' then 3.0 else 0.0 end) + 1.0, 9) as score from r)
+select case when s = 'NATION_7' then 'bridge' else 'general' end as section, s, p, o, score from (select * from x order by case when s = 'NATION_7' then 0 else 1 end, score desc, s, p, o limit 6)""")
 def context_rank(spark, d):
     t = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("s"), F.lit("partOf").alias("p"), F.col("r_name").alias("o"))
-    return retrieve.context(t, retrieve.bridges(t, ["asia", "india"]).select("s", "p", "o"), ["asia", "india"], 3, 6)
+    return retrieve.context(t, retrieve.bridges(t, ["asia", "nation_7"]).select("s", "p", "o"), ["asia", "nation_7"], 3, 6)
 
 
 @query(f"""with {_DT}, u as (select distinct s, p, o from t), h as (select """ + ", ".join(f"max(case when regexp_matches(lower(o), '(^|[^a-zA-Z0-9]){k}([^a-zA-Z0-9]|$)') then 1 else 0 end) as h{i}" for i, k in enumerate(_KW)) + """, count(distinct p) as relation_diversity, count(*) as subgraph_volume from u) select round((h0 + h1 + h2) * 100.0 / 3, 9) as hit_rate, relation_diversity, subgraph_volume from h""")
@@ -432,7 +439,7 @@ def keyword_metrics(spark, d):
     return retrieve.keyword_metrics(_doc_triples(spark, d), _KW).withColumn("hit_rate", F.round("hit_rate", 9))
 
 
-@query("""with q as (select vec_id as q, embedding::double[] as v from embeddings where vec_id < 5), s as (select q, vec_id, list_cosine_similarity(q.v, e.embedding::double[]) as c from q, embeddings e where e.vec_id <> q), w as (select *, row_number() over (partition by q order by c desc, vec_id) as n from s)
+@query("""with q as (select vec_id as q, embedding::double[] as v from embeddings where vec_id % 100 = 0), s as (select q, vec_id, list_cosine_similarity(q.v, e.embedding::double[]) as c from q, embeddings e where e.vec_id <> q), w as (select *, row_number() over (partition by q order by c desc, vec_id) as n from s)
 select q, round(avg(c), 9) as mean from w where n <= 10 group by q""")
 def topk_cosine(spark, d):
     e = table(spark, d, "embeddings")
@@ -460,7 +467,7 @@ def paired_effect(spark, d):
     return stats.paired_effect(x, ["lang"], "a", "b").withColumn("r_rb", F.round("r_rb", 9))
 
 
-_RATINGS = "with v as (select o_orderkey as item, unnest([1, 2, 3]) as rater, (o_orderkey % 5)::double as base from orders where o_orderkey % 10 < 8), r as (select item, rater, (base + (item * rater) % 3)::double as value from v)"
+_RATINGS = "with v as (select o_orderkey as item, unnest([1, 2, 3]) as rater, (o_orderkey % 5)::double as base from orders), r as (select item, rater, (base + (item * rater) % 3)::double as value from v)"
 
 
 def _ratings(spark, d):
@@ -572,7 +579,7 @@ def relation_examples(spark, d):
     return evaluate.examples(star.relations(spark, d), star.concepts(spark, d))
 
 
-@query("""with x as (select conv_id, turn, case when turn % 3 = 0 then 'none' else 'Score: ' || (turn * 7 % 11) || '/10' end as answer from conversations) select conv_id, turn, try_cast(nullif(regexp_extract(answer, 'Score: (\\d+)', 1), '') as int) as score from x""")
+@query("""with x as (select conv_id, turn, case when turn % 3 = 0 then 'none' else 'Score: ' || (turn * 7 % 11) || '/10' end as answer from conversations) select conv_id, turn, try_cast(nullif(regexp_extract(answer, 'Score: (\\d+)', 1), '') as bigint) as score from x""")
 def judge_scores(spark, d):
     answer = F.when(F.col("turn") % 3 == 0, "none").otherwise(F.concat(F.lit("Score: "), (F.col("turn") * 7 % 11).cast("string"), F.lit("/10")))
     return table(spark, d, "conversations").select("conv_id", "turn", evaluate.judge_score(answer).alias("score"))
@@ -639,7 +646,7 @@ def target_classes(spark, d):
     return loaders.target_pos(r, w, "target", "class", "kind").select("p_partkey", "target_pos")
 
 
-@query("""with recursive known as (select p_partkey as place from part where p_size % 4 = 0), walk(id, place, depth) as (select p_partkey, p_partkey, 0 from part union all select w.id, w.place // 2, w.depth + 1 from walk w where w.depth < 15 and w.place > 1 and w.place not in (select place from known))
+@query("""with recursive known as (select p_partkey as place from part where p_size % 4 = 0), walk(id, place, depth) as (select p_partkey, p_partkey, 0 from part union all select w.id, w.place // 2, w.depth + 1 from walk w where w.depth < 64 and w.place > 1 and w.place not in (select place from known))
 select id, place from walk where place in (select place from known)""")
 def place_chain(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
@@ -653,13 +660,13 @@ def label_gates(spark, d):
 
 
 @query("""with e as (select p_brand as a, p_type as b, count(*) as h from part group by 1, 2), b as (select p_brand as a, p_type as b, count(*) as n from part where p_size < 25 group by 1, 2), g as (select label, count(*) as degree from (select p_brand as label from part union all select p_type from part) group by label)
-select e.a, e.b, h, coalesce(n, 0) as base, h - coalesce(n, 0) as gain from e left join b using (a, b) where h > coalesce(n, 0) and e.a in (select label from g where degree <= (select count(*) // 20 from part)) and e.b in (select label from g where degree <= (select count(*) // 20 from part) * 100)
-and e.b in (select label from g where degree <= (select count(*) // 20 from part))""")
+select e.a, e.b, h, coalesce(n, 0) as base, h - coalesce(n, 0) as gain from e left join b using (a, b) where h > coalesce(n, 0) and e.a in (select label from g where degree <= (select count(*) // 4 from part)) and e.b in (select label from g where degree <= (select count(*) // 4 from part) * 100)
+and e.b in (select label from g where degree <= (select count(*) // 4 from part))""")
 def differential_pairs(spark, d):
     p = table(spark, d, "part")
     pairs = p.select(F.col("p_brand").alias("a"), F.col("p_type").alias("b"), "p_size")
     h, g = analytics.mined(pairs.select("a", "b"))
-    return analytics.differential(h, analytics.mined(pairs.where("p_size < 25").select("a", "b"))[0], g, p.count() // 20)
+    return analytics.differential(h, analytics.mined(pairs.where("p_size < 25").select("a", "b"))[0], g, p.count() // 4)
 
 
 @query("""select o_custkey, count(*) as n from orders group by 1 order by n desc, o_custkey limit 10""")
@@ -681,11 +688,11 @@ def canonical_numbers(spark, d):
     return t.select("l_orderkey", "l_linenumber", c["p"].alias("base"), c["o"].alias("o"))
 
 
-@query(f"""{_BASE}, {_LIFT}, t as (select cluster, array_to_string(list_sort(list_distinct(list(term))), ', ') as terms from concepts_ join clusters_ using (concept) group by 1), a as (select distinct cluster from concepts_ join clusters_ using (concept) where lower(term) = 'france'), b as (select distinct cluster from concepts_ join clusters_ using (concept) where lower(term) = 'europe')
+@query(f"""{_BASE}, {_LIFT}, t as (select cluster, array_to_string(list_sort(list_distinct(list(term))), ', ') as terms from concepts_ join clusters_ using (concept) group by 1), a as (select distinct cluster from concepts_ join clusters_ using (concept) where lower(term) = 'nation_3'), b as (select distinct cluster from concepts_ join clusters_ using (concept) where lower(term) = 'europe')
 select distinct 'forward' as direction, x.terms as start_terms, rel, y.terms as end_terms from lifted l join t x on l.start_cluster = x.cluster join t y on l.end_cluster = y.cluster where (l.start_cluster in (select cluster from a) and l.end_cluster in (select cluster from b))""")
 def word_cluster_relations(spark, d):
     c = _clusters(spark, d)
-    return explain.cluster_relations_between(cluster.lift(star.relations(spark, d), c), star.concepts(spark, d), c, "France", "Europe")
+    return explain.cluster_relations_between(cluster.lift(star.relations(spark, d), c), star.concepts(spark, d), c, "Nation_3", "Europe")
 
 
 @query("""select n_name as class, r_name as ancestor, 1 as depth from nation join region on n_regionkey = r_regionkey union all select r_name, 'WORLD', 1 from region union all select n_name, 'WORLD', 2 from nation""")

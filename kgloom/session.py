@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -55,10 +56,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is made and set.
+    Only where the session names none and runs in this one process (local tests) a temporary folder is made and set; on a
+    cluster without such a folder RuntimeError is raised, as executors and driver would not see each other's files.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="kgloom-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -76,6 +81,18 @@ def staged(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def cached(spark: SparkSession, make, key: str, folder: str | None = None) -> DataFrame:
+    """make()'s table, read through a Parquet cache named by the digest of key (a version, a config, a file's identity).
+
+    A table counts as there once its writer has marked it whole, so that a broken write is made again.
+    """
+    path = f"{folder or shared_dir(spark) + '/kgloom/cache'}/{hashlib.sha256(key.encode()).hexdigest()[:32]}"
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 #: Rows up to which a side of a join is broadcast.
 SMALL = 100_000
 

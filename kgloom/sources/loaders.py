@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kgloom.functions.textnorm import normalise_term, sense_token
 from kgloom.operators import dedup
-from kgloom.session import small
+from kgloom.session import small, staged
 
 ENDS = ("term", "pos", "sense")
 C, R, P, U = "term string, pos string, sense string", "s_term string, s_pos string, s_sense string, rel string, e_term string, e_pos string, e_sense string, weight float", "term string, pos string, sense string, type string, value string", "term string, pos string, sense string, url string"
@@ -168,20 +168,31 @@ def phrase_parts(phrases: DataFrame, tags: DataFrame) -> DataFrame:
     return _edge(got, (F.col("term"), "Phrase", None), "compositeFormWith", (F.col("word"), F.col("class"), None))
 
 
-def resolved_ids(ids: DataFrame, known: DataFrame, alternates: DataFrame, most: int = 16) -> DataFrame:
+def resolved_ids(ids: DataFrame, known: DataFrame, alternates: DataFrame) -> DataFrame:
     """(id, place): an id that is known, or the first known one along alternate ids.
 
-    One join a step; chains that end or come back give no row. most bounds a chain's length.
+    Links are doubled, so that the steps grow with the logarithm of the longest chain. Chains that end or come back give no
+    row: once more steps are made than there are links, what is still open is a circle. Of several places of an alternate
+    id, the least counts.
     """
+    spark = ids.sparkSession
     known = known.select(F.col("id").alias("place")).distinct()
-    front = ids.select("id", F.col("id").alias("place")).distinct()
-    out = None
-    for _ in range(most):
+    links = alternates.where("alt_id is not null and place is not null").groupBy("alt_id").agg(F.min("place").alias("place"))
+    # a known id leads nowhere, so that it is never passed
+    links = staged(spark, links.join(known.select(F.col("place").alias("alt_id")), "alt_id", "left_anti"), "links")
+    front, out, made, step, most = ids.select("id", F.col("id").alias("place")).distinct(), None, 0, 1, links.count()
+    while True:
         hit = front.join(known, "place", "left_semi").select("id", "place")
         out = hit if out is None else out.unionByName(hit)
+        if made > most:
+            return out
         miss = front.join(known, "place", "left_anti")
-        front = miss.join(alternates.select(F.col("alt_id").alias("place"), F.col("place").alias("_next")), "place").select("id", F.col("_next").alias("place"))
-    return out
+        front = staged(spark, miss.join(links.select(F.col("alt_id").alias("place"), F.col("place").alias("_next")), "place").select("id", F.col("_next").alias("place")), "front")
+        if front.isEmpty():
+            return out
+        made, step = made + step, 2 * step
+        far = links.alias("a").join(links.alias("b"), F.col("a.place") == F.col("b.alt_id"), "left").select("a.alt_id", F.coalesce("b.place", "a.place").alias("place"))
+        links = staged(spark, far, "links")
 
 
 def geonames(places: DataFrame, hierarchy: DataFrame, alternates: DataFrame, links: DataFrame, features: DataFrame, ignored: DataFrame) -> KG:

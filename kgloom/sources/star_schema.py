@@ -48,6 +48,11 @@ def part_urls(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(_key("p", "l_partkey").alias("concept"), _key("o", "l_orderkey").alias("url")).distinct()
 
 
+def shipment_urls(spark: SparkSession, d: str) -> DataFrame:
+    """(concept, url): parts and the shipments that hold them, a supplier's share of an order. Few parts share one, so clusters stay small."""
+    return table(spark, d, "lineitem").select(_key("p", "l_partkey").alias("concept"), F.concat(_key("o", "l_orderkey"), F.lit("/"), F.col("l_suppkey").cast("string")).alias("url")).distinct()
+
+
 def doc_urls(spark: SparkSession, d: str) -> DataFrame:
     """(concept, url): documents and the md5 of their text."""
     return table(spark, d, "documents").select(_key("d", "doc_id").alias("concept"), F.md5("text").alias("url"))
@@ -80,7 +85,8 @@ union all select 'p:' || p_partkey, p_name, 'Noun', 'noun.' || lower(p_type), 'p
 union all select 'c:' || c_custkey, 'n:' || c_nationkey, 'AtLocation', 1.0::double, 'customer' from customer
 union all select 's:' || s_suppkey, 'n:' || s_nationkey, 'AtLocation', 1.0::double, 'supplier' from supplier
 union all select 's:' || l_suppkey, 'p:' || l_partkey, 'product', count(*)::double, 'lineitem' from lineitem group by l_suppkey, l_partkey""",
-    "part_urls": "select distinct 'p:' || l_partkey as concept, 'o:' || l_orderkey as url from lineitem where l_quantity = 50",
+    "part_urls": "select distinct 'p:' || l_partkey as concept, 'o:' || l_orderkey as url from lineitem",
+    "shipment_urls": "select distinct 'p:' || l_partkey as concept, 'o:' || l_orderkey || '/' || l_suppkey as url from lineitem",
     "doc_urls": "select 'd:' || doc_id as concept, md5(text) as url from documents",
     "page_urls": """select distinct concept, url from (select 'g:' || page_id as concept, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as url from pages)""",
 }
