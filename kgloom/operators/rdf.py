@@ -160,7 +160,7 @@ LINES = {
     "closed": (r"^\s*([^ ]*) ([^ ]*) (.*?)\s*\.\s*$", ()),
     "spaced": (r"^([^ ]*) ([^ ]*) (.*?)[ .]*$", ()),
     "uris": (r"^.*?<([^>]+)>.*?<([^>]+)>.*?<([^>]+)>", ()),
-    "iris": (r"^<(.*?)> <(.*?)> <?([^>]*)", ()),
+    "iris": (r"^<(.*?)> <(.*?)> <([^>]*)", ()),
 }
 
 

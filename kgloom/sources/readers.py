@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +82,38 @@ def edge_patterns(lines: DataFrame) -> DataFrame:
     return lines.where(t.rlike(pattern)).select(*[F.regexp_extract(t, pattern, i + 1).alias(c) for i, c in enumerate(("start", "start_pos", "rel", "end", "end_pos"))])
 
 
+#: Prefixes and predicates of resource dumps.
+RESOURCE, ENTITY = "http://dbpedia.org/resource/", "http://www.wikidata.org/entity/"
+LABEL, TYPE = "http://www.w3.org/2000/01/rdf-schema#label", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+
+
+def _labels(lines: DataFrame, prefix: str, lang: str) -> DataFrame:
+    pattern = rf'^\s*<(\Q{prefix}\E[^>]+)>\s+<\Q{LABEL}\E>\s+"((?:[^"\\]|\\.)*)"@\Q{lang}\E\s*\.\s*$'
+    text = F.replace(F.replace(F.regexp_extract("value", pattern, 2), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    return lines.where(F.col("value").rlike(pattern)).select(F.regexp_extract("value", pattern, 1).alias("uri"), text.alias("label"))
+
+
+def resources(labels: DataFrame, types: DataFrame, lang: str, ignored: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Labels (uri, label) of resources in a language, and types (uri, type) of those that have one; lines are N-Triples (value)."""
+    named = _labels(labels, RESOURCE, lang)
+    pattern = rf"^\s*<(\Q{RESOURCE}\E[^>]+)>\s+<\Q{TYPE}\E>\s+<([^>]+)>\s*\.\s*$"
+    rows = types.where(F.col("value").rlike(pattern)).select(F.regexp_extract("value", pattern, 1).alias("uri"), F.regexp_extract("value", pattern, 2).alias("type"))
+    kinds = (rows.where(~F.col("type").isin(*ignored)) if ignored else rows).distinct().join(named.select("uri").distinct(), "uri", "left_semi")
+    return {"labels": named, "types": kinds}
+
+
+def entity_labels(lines: DataFrame, lang: str) -> DataFrame:
+    """(uri, label) of numbered entities."""
+    return _labels(lines, ENTITY + "Q", lang)
+
+
+def property_labels(spark: SparkSession, path: str, allowed: DataFrame | None = None) -> DataFrame:
+    """(uri, label) of a CSV of properties (id, label, description, datatype, counts); of the allowed ids (id) only."""
+    p = spark.read.schema("id string, label string, description string, datatype string, counts string").csv(path)
+    p = p if allowed is None else p.join(allowed.select(F.trim("id").alias("id")), "id", "left_semi")
+    return p.select(F.concat(F.lit(ENTITY), "id").alias("uri"), "label")
+
+
 def edges_to_ntriples(edges: DataFrame, base: str = "http://kgloom.example/") -> DataFrame:
     """Lines of assertions, by surface form; rows without both ends are skipped."""
     iri = lambda c: F.concat(F.lit(f"<{base}"), percent_quote(F.replace(F.col(c), F.lit(" "), F.lit("_"))), F.lit(">"))
@@ -106,12 +137,14 @@ def benchmark(spark: SparkSession, path: str, columns: list[str], rows: int | No
 
 
 def append_benchmark(df: DataFrame, path: str, header: str) -> None:
-    """K7: appends CSV rows; where the header file names other columns, the folder moves to .legacy first (local or mounted folders)."""
-    names = ",".join(df.columns)
-    if os.path.exists(header) and open(header, encoding="utf-8").read() != names:
-        os.replace(path, path + ".legacy")
-    with open(header, "w", encoding="utf-8") as f:
-        f.write(names)
+    """K7: appends CSV rows; where the header table names other columns, the folder moves to .legacy first. Any store that Spark reads."""
+    spark, names = df.sparkSession, ",".join(df.columns)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(hadoop.Path(header)) and spark.read.text(header).first()["value"] != names:
+        fs.delete(hadoop.Path(path + ".legacy"), True)
+        fs.rename(hadoop.Path(path), hadoop.Path(path + ".legacy"))
+    spark.createDataFrame([(names,)], "value string").coalesce(1).write.mode("overwrite").text(header)
     df.write.mode("append").option("header", True).csv(path)
 
 
