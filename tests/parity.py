@@ -46,5 +46,7 @@ def difference(spark, folder: str, query, sql: str) -> str | None:
         return f"columns {sorted(df.columns)} and {sorted(rel.columns)}"
     if len(got) != len(want):
         return f"{len(got)} and {len(want)} rows"
+    if not got:
+        return "no rows"
     bad = [(a, b) for a, b in zip(got, want) if a != b]
     return f"{len(bad)} rows differ, such as {bad[0]}" if bad else None
