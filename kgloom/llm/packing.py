@@ -4,7 +4,7 @@ Every input partition packs its own windows: no shuffle, no row moves, and a los
 A document is cut into full windows and one rest. The rest goes to the fill level whose choice gives the least
 sum of squared counts of partially filled windows; the counts are one array by level. When a partition ends, the
 fullest windows are topped up with pieces cut off the emptiest ones, so that most placed pieces stay where they were
-placed; what is left of a last window is cut at powers of two, which need no padding.
+placed; at most one window a partition is not full.
 """
 
 from __future__ import annotations
@@ -86,10 +86,7 @@ class SumOfSquares:
         return []
 
     def finish(self) -> list[tuple]:
-        """Closes what is open: the fullest window is filled from the emptiest, again and again.
-
-        Of the last window, pieces are cut so that its length and what is cut off are powers of two.
-        """
+        """Closes what is open: the fullest window is filled from the emptiest, again and again; the last may stay short."""
         out: list[tuple] = []
         held = deque(pieces for level in sorted(self.open, reverse=True) for pieces in self.open[level])
         self.open.clear()
@@ -104,13 +101,6 @@ class SumOfSquares:
                 pieces.append(taken)
                 if not held[-1]:
                     held.pop()
-            while level & level - 1:
-                part, k = [], 1 << level.bit_length() - 1
-                level -= k
-                while k:
-                    part.append(self.cut(pieces, k))
-                    k -= len(part[-1][2]) // 4
-                out += self.close(part)
             out += self.close(pieces)
         return out
 
