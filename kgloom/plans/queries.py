@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kgloom.functions import similarity, textnorm
 from kgloom.operators import analytics, audit, cluster, dedup, evaluate, explain, mapping, rdf, retrieve, stats
 from kgloom.operators.components import connected_components
-from kgloom.session import small, table
+from kgloom.session import table
 from kgloom.sources import loaders
 from kgloom.sources import star_schema as star
 
@@ -201,16 +201,15 @@ def source_gates(spark, d):
     return table(spark, d, "pages").select("page_id", textnorm.detect_source("url").alias("source"), textnorm.meaningful("url").alias("ok"))
 
 
-@query(f"""with t as (select s, p || '7>' as p, o from (select s, '<http://kgloom.example/eq' as p, o from ({S['triples']}) where p like '%PartOf>'))
-select least(s, o) as s, '<http://kgloom.example/eq>' as p, greatest(s, o) as o from t""")
+@query(f"""select least(s, o) as s, '<http://kgloom.example/eq>' as p, greatest(s, o) as o from ({S['triples']})""")
 def eq_symmetric(spark, d):
-    t = star.triples(spark, d).where(F.col("p").endswith("PartOf>")).select("s", F.lit("<http://kgloom.example/eq7>").alias("p"), "o")
+    t = star.triples(spark, d).select("s", F.lit("<http://kgloom.example/eq7>").alias("p"), "o")
     return t.select(*[c.alias(k) for k, c in textnorm.canonical_triple("s", "p", "o").items()])
 
 
-@query(f"""with t as (select "start" as s, rel as p, "end" as o from ({S['relations']}) where rel <> 'product') select s, case p when 'PartOf' then s || ' part of ' || o else s || ' at location ' || o end as sentence from t""")
+@query(f"""with t as (select "start" as s, rel as p, "end" as o from ({S['relations']})) select s, case p when 'PartOf' then s || ' part of ' || o when 'product' then s || ' product ' || o else s || ' at location ' || o end as sentence from t""")
 def verbalise(spark, d):
-    r = star.relations(spark, d).where("rel != 'product'")
+    r = star.relations(spark, d)
     return r.select(F.col("start").alias("s"), textnorm.verbalise("start", "rel", "end").alias("sentence"))
 
 
@@ -546,32 +545,37 @@ def json_keys(spark, d):
     return analytics.json_keys(table(spark, d, "events"), "props")
 
 
-# without SQL
+# K5, G7, Z14, S12
 
-@query()
+_EXPORT = f"""with c as ({S['concepts']}), r as (select *, false as negated from ({S['relations']})),
+h as (select *, '{rdf.BASE}' || case when regexp_matches(term, '[^a-zA-Z0-9_-]') then replace(url_encode(term), '%2F', '/') else term end as hub from c),
+n as (select concept, term, pos, hub, case when sense = '' then hub else hub || '--' || regexp_replace(sense, '[^a-zA-Z0-9_-]', '-', 'g') end as uri from h),
+k as (select *, '{rdf.BASE}' || rel || row_number() over (partition by rel order by negated, weight) as predicate from (select distinct rel, negated, weight from r)),
+t(s, p, o, kind, dtype) as (select uri, '{rdf.RDF_TYPE}', '{rdf.BASE}' || pos, 'iri', null::varchar from n
+union select uri, '{rdf.RDFS_LABEL}', term, 'literal', null from n
+union select uri, '{rdf.BASE}withSense', hub, 'iri', null from n where uri <> hub
+union select hub, '{rdf.RDFS_LABEL}', term, 'literal', null from n where uri <> hub
+union select a.uri, predicate, b.uri, 'iri', null from r join k using (rel, negated, weight) join n a on a.concept = r."start" join n b on b.concept = r."end" where a.uri <> b.uri
+union select predicate, '{rdf.RDF_TYPE}', '{rdf.BASE}' || rel, 'iri', null from k
+union select predicate, '{rdf.BASE}is_negated', negated::varchar, 'literal', '{rdf.XSD}boolean' from k
+union select predicate, '{rdf.BASE}weight', weight::varchar, 'literal', '{rdf.XSD}double' from k
+union select uri, '{rdf.BASE}segment', c_mktsegment, 'literal', null from customer join n on concept = 'c:' || c_custkey)"""
+
+
+@query(f"""{_EXPORT} select '<' || s || '> <' || p || '> ' || case when kind = 'iri' then '<' || o || '>' else '"' || o || '"' || coalesce('^^<' || dtype || '>', '') end || ' .' as value from t""")
 def export_triples(spark, d):
     """N-Triples lines of the star graph."""
-    r = star.relations(spark, d).where("rel != 'product'").withColumn("negated", F.lit(False))
+    r = star.relations(spark, d).withColumn("negated", F.lit(False))
     props = table(spark, d, "customer").select(F.concat(F.lit("c:"), "c_custkey").alias("concept"), F.lit("segment").alias("type"), F.col("c_mktsegment").alias("value"))
     return rdf.ntriples(rdf.export(star.concepts(spark, d), r, props, rdf.reified(r)))
 
 
-@query()
+@query(f"{_EXPORT} select s, p, o, kind, dtype, null::varchar as lang from t")
 def nt_roundtrip(spark, d):
     """The exported lines parsed again."""
     return rdf.parse_ntriples(export_triples(spark, d))
 
 
-@query()
-def sequence_match(spark, d):
-    """The best region name of each nation by the matching-blocks ratio; five names are the stated targets."""
-    from pyspark.sql import Window
-
-    pairs = table(spark, d, "nation").join(small(table(spark, d, "region")), F.lit(True)).select("n_name", "r_name", similarity.sequence_ratio(F.lower("n_name"), F.lower("r_name")).alias("score"))
-    w = Window.partitionBy("n_name").orderBy(F.desc("score"), "r_name")
-    return pairs.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
-
-
 # Z23, Z29-Z36
 
 @query(f"""with c as ({S['concepts']}), n as (select rel, "start", "end", a.term as start_term, b.term as end_term from ({S['relations']}) r join c a on r."start" = a.concept join c b on r."end" = b.concept where lower(a.term) <> lower(b.term)), w as (select *, row_number() over (partition by rel order by "start", "end") as k from n) select rel, start_term, end_term from w where k = 1""")
