@@ -185,6 +185,7 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of documents; odd cases are those of round_trip_digests()."""
     import public_tokenizers
 
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -398,5 +398,7 @@ def score(spark: SparkSession, docs: DataFrame, train_docs: DataFrame) -> DataFr
 
 
 def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of documents, learned from rows
+    that are not held out; odd cases are those of score(). Rows with a null doc_id are learned from."""
     docs = table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(7))
     return score(spark, docs, docs.where("not held_out"))

@@ -185,6 +185,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every row of pages, read back from the normalised
+    archives; odd cases are those of write_archives()."""
     archives = staged(spark, write_archives(spark, table(spark, sf_dir, "pages")), "warc-monolithic")
     return read_archives(staged(spark, normalise_archives(archives), "warc-normalised"))
 
