@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.functions.textnorm import clean_term
-from kgloom.session import staged
+from kgloom.session import discard, staged
 
 #: Weights of relations in a context's relevance.
 RELEVANCE = [(("eq", "synonym", "equivalentTo", "sameAs"), 1.5), (("isA", "partOf", "instanceOf"), 1.0), (("relatedTo", "hasContext"), 0.2)]
 #: Nodes that say little, and what a triple with one of them loses.
 HUBS, HUB_LOSS = ("entity", "thing", "concept", "node", "item"), 0.5
 PENALTY = (("derivedFrom", "etymologicallyRelatedTo", "formOf"), -1.0)
+#: Tables of found nodes, one a hop, from which distances() makes one again.
+UNITED = 32
 
 
 def bounded(keyword: str, escape: bool = True) -> str:
@@ -124,24 +128,31 @@ def keyword_metrics(t: DataFrame, keywords: list[str]) -> DataFrame:
     return t.select("s", "p", "o").distinct().agg((rate * (100.0 / max(len(keywords), 1))).alias("hit_rate"), F.countDistinct("p").alias("relation_diversity"), F.count(F.lit(1)).alias("subgraph_volume"))
 
 
-def distances(spark: SparkSession, edges: DataFrame, sources: DataFrame, most: int = 32) -> DataFrame:
-    """(source, node, hops, path): shortest paths over undirected edges (a, b, via) from each source node.
+def distances(spark: SparkSession, edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(source, node, hops, path, vias): shortest paths over undirected edges (a, b, via) from each source node.
 
     One join a hop with the frontier only, cut off by a table in the shared folder; of equal paths the least by its nodes
-    stays. most bounds the hops, and raises if nodes are still being found.
+    stays. It goes on until no node is found, or for most hops. A repeated source counts once; a null node leads nowhere.
     """
-    both = edges.select("a", "b", "via").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "via")).where("a != b").groupBy("a", "b").agg(F.min("via").alias("via"))
+    both = edges.select("a", "b", "via").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "via")).where("not (a <=> b)").groupBy("a", "b").agg(F.min("via").alias("via"))
     both = staged(spark, both, "bfs-edges")
-    seen = staged(spark, sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops"), F.array("node").alias("path"), F.array().cast("array<string>").alias("vias")), "bfs-0")
-    front = seen
-    for hop in range(1, most + 1):
+    front = staged(spark, sources.select("node").distinct().select(F.col("node").alias("source"), "node", F.lit(0).alias("hops"), F.array("node").alias("path"), F.array().cast("array<string>").alias("vias")), "bfs-0")
+    found = [front]
+    for hop in count(1) if most is None else range(1, most + 1):
         step = front.join(both, front["node"] == both["a"]).select("source", F.col("b").alias("node"), F.lit(hop).alias("hops"), F.concat("path", F.array("b")).alias("path"), F.concat("vias", F.array("via")).alias("vias"))
         step = step.groupBy("source", "node").agg(F.min("hops").alias("hops"), F.min_by("path", "path").alias("path"), F.min_by("vias", "path").alias("vias"))
-        front = staged(spark, step.join(seen.select("source", "node"), ["source", "node"], "left_anti"), f"bfs-{hop}")
+        seen = reduce(DataFrame.unionByName, found).select(F.col("source").alias("_s"), F.col("node").alias("_n"))
+        front = staged(spark, step.join(seen, (F.col("source") == F.col("_s")) & F.col("node").eqNullSafe(F.col("_n")), "left_anti"), f"bfs-{hop}")
         if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
-    raise RuntimeError(f"paths are longer than {most} hops")
+            discard(front)
+            break
+        if len(found) == UNITED:
+            whole = staged(spark, reduce(DataFrame.unionByName, found), "bfs-seen")
+            discard(*found)
+            found = [whole]
+        found.append(front)
+    discard(both)
+    return reduce(DataFrame.unionByName, found)
 
 
 def pair_distances(found: DataFrame, targets: DataFrame) -> DataFrame:
